@@ -87,13 +87,13 @@ def sentence_pairs(mentions: DataFrame) -> DataFrame:
         .groupBy("article_id", "sentence", "entity_type", "entity_id")
         .agg(
             F.max_by(
-                F.struct("mention_idx", "start", "section", "score"),
+                F.struct("mention_idx", "start", "section", "score", "article_kind"),
                 F.struct(F.col("score"), -F.col("mention_idx")),
             ).alias("m")
         )
         .select("article_id", "sentence", "entity_type", "entity_id", "m.*")
     )
-    columns = ["sentence", "entity_id", "mention_idx", "start", "section", "score"]
+    columns = ["sentence", "entity_id", "mention_idx", "start", "section", "score", "article_kind"]
     a, b = _side(best, "a", columns), _side(best, "b", columns)
     return a.join(
         b, (a["article_id"] == b["article_id"]) & (F.col("sentence_a") == F.col("sentence_b"))
@@ -103,6 +103,7 @@ def sentence_pairs(mentions: DataFrame) -> DataFrame:
         "mention_idx_a", "mention_idx_b",
         (F.col("score_a") + F.col("score_b")).alias("base_score"),
         evidence_section().alias("section"), F.col("sentence_a").alias("evidence"),
+        F.col("article_kind_a").alias("article_kind"),
     )
 
 
@@ -110,7 +111,7 @@ def near_pairs(mentions: DataFrame, distance: int) -> DataFrame:
     """Pairs whose joint span fits in ``distance`` and that no sentence quotes."""
     width = max(1, distance)
     slim = _slim(mentions).withColumn("sentence_key", F.when(F.col("in_sentence"), F.col("sentence")))
-    columns = ["entity_id", "mention_idx", "start", "end", "section", "score", "form", "sentence_key", "ahead"]
+    columns = ["entity_id", "mention_idx", "start", "end", "section", "score", "form", "sentence_key", "ahead", "article_kind"]
     a = _side(slim, "a", columns).withColumn("block", F.floor(F.col("start_a") / width))
     b = _side(slim, "b", columns).withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start_b") / width) - 1, F.floor(F.col("start_b") / width) + 1))
@@ -126,7 +127,7 @@ def near_pairs(mentions: DataFrame, distance: int) -> DataFrame:
         "article_id", F.col("entity_id_a").alias("entity_a_id"), F.col("entity_id_b").alias("entity_b_id"),
         "mention_idx_a", "mention_idx_b",
         (F.col("score_a") + F.col("score_b")).alias("base_score"),
-        evidence_section().alias("section"), "evidence",
+        evidence_section().alias("section"), "evidence", F.col("article_kind_a").alias("article_kind"),
     )
 
 
@@ -141,7 +142,7 @@ def best_pairs(mentions: DataFrame, protocol: Protocol) -> DataFrame:
         scored.groupBy(*PAIR)
         .agg(
             F.max_by(
-                F.struct("confidence_score", "section", "evidence"),
+                F.struct("confidence_score", "section", "evidence", "article_kind"),
                 F.struct(F.col("confidence_score"), -F.col("mention_idx_a"), -F.col("mention_idx_b")),
             ).alias("best")
         )
@@ -166,22 +167,20 @@ def term_lookup(protocol: Protocol, slot: str, key: Column) -> Column:
     )
 
 
-def build_relations(mentions: DataFrame, summaries: DataFrame, articles: DataFrame, protocol: Protocol) -> DataFrame:
+def build_relations(mentions: DataFrame, summaries: DataFrame, protocol: Protocol) -> DataFrame:
     """One row per (article, A entity, B entity) backed by a quotation."""
     best = best_pairs(mentions, protocol)
     context = summaries.where("entity_type = 'a'").select(
         "article_id", F.col("entity_id").alias("entity_a_id"), "study_context"
     )
-    kinds = articles.select("article_id", "article_kind")
     label = association_label(F.col("evidence"), F.col("section"), protocol.cues)
     a = term_lookup(protocol, "a", F.col("entity_a_id"))
     b = term_lookup(protocol, "b", F.col("entity_b_id"))
     return (
         best.withColumn("association", label)
         .join(context, ["article_id", "entity_a_id"], "left")
-        .join(kinds, "article_id", "left")
         .select(
-            *["article_id", "entity_a_id"], a["label"].alias("entity_a_label"), a["category"].alias("entity_a_category"),
+            "article_id", "entity_a_id", a["label"].alias("entity_a_label"), a["category"].alias("entity_a_category"),
             "entity_b_id", b["label"].alias("entity_b_label"), b["category"].alias("entity_b_category"),
             "association",
             relation_confidence(F.col("confidence_score"), F.col("section"), F.col("association")).alias("confidence"),
