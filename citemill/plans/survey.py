@@ -30,10 +30,17 @@ def votes(answers: DataFrame) -> DataFrame:
 def proposals(answers: DataFrame) -> DataFrame:
     """Numbers proposed per parameter, one row each; a decimal comma is accepted."""
     prefix = fixed.SURVEY_PROPOSAL_PREFIX
-    number = F.regexp_extract(F.regexp_replace(F.trim(_answers()), ",", "."), r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?", 0)
-    return answers.where(F.col("question").startswith(prefix)).select(
-        "response_id", F.substring("question", len(prefix) + 1, 1 << 20).alias("parameter"),
-        F.nullif(number, F.lit("")).try_cast("double").alias("value"),
+    leading = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?"
+    number = F.regexp_extract(F.regexp_replace(F.trim(_answers()), ",", "."), leading, 0)
+    return (
+        answers.where(F.col("question").startswith(prefix))
+        .select(
+            "response_id",
+            F.col("question").substr(F.lit(len(prefix) + 1), F.length("question")).alias("parameter"),
+            F.nullif(number, F.lit("")).try_cast("double").alias("value"),
+        )
+        .where("value is not null")
+    )
 
 
 def _two_decimals(value: Column) -> Column:

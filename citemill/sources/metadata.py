@@ -70,8 +70,8 @@ def normalise_sheet(rows: DataFrame, source_ord: int = 0) -> DataFrame:
         F.transform(F.slice("cells", 1, 4), lambda c: F.trim(F.coalesce(c, F.lit("")))),
         lambda c: c.rlike(r"^[A-Za-z]+[0-9]+\z"),
     )
-    body = rows.crossJoin(F.broadcast(names)).where(  # one header row
-        (F.col("row_no") > F.col("header_no")) & F.exists("cells", lambda c: c.isNotNull())
+    body = rows.withColumn("names", names.select("names").scalar()).where(
+        (F.col("row_no") > names.select("header_no").scalar()) & F.exists("cells", lambda c: c.isNotNull())
     )
     row = F.map_from_entries(
         F.transform("names", lambda n, i: F.struct(n, F.coalesce(F.get("cells", i), F.lit(""))))
