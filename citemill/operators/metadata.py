@@ -59,13 +59,13 @@ def guess_title(text: Column, embedded: Column, row: Column) -> Column:
     starts = [F.lower(embedded).startswith(p) for p in fixed.EMBEDDED_TITLE_PUBLISHERS]
     usable = (F.coalesce(embedded, F.lit("")) != "") & ~(starts[0] | starts[1] | starts[2])
     lines = F.slice(F.split(F.coalesce(text, F.lit("")), LINE_BREAK, 91), 1, 90)
-    first = F.element_at(
+    first = F.get(
         F.filter(
             F.transform(lines, squash),
             lambda c: (F.length(c) >= 12) & (F.length(c) <= 260)
             & ~contains_any(F.lower(c), fixed.TITLE_BOILERPLATE),
         ),
-        1,
+        F.lit(0),
     )
     return (
         F.when(listed != "", listed)
@@ -81,13 +81,13 @@ def guess_title_context(text: Column, embedded: Column, row: Column) -> Column:
     blocked = starts[0] | starts[1] | starts[2] | starts[3] | starts[4]
     usable = (F.length(F.coalesce(embedded, F.lit(""))) >= 10) & ~blocked
     lines = F.slice(F.split(F.coalesce(text, F.lit("")), LINE_BREAK, 81), 1, 80)
-    first = F.element_at(
+    first = F.get(
         F.filter(
             F.transform(lines, squash),
             lambda c: (F.length(c) >= 12) & (F.length(c) <= 220)
             & ~contains_any(F.lower(c), fixed.CONTEXT_TITLE_BOILERPLATE),
         ),
-        1,
+        F.lit(0),
     )
     return (
         F.when(listed != "", listed)

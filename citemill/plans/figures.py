@@ -158,7 +158,7 @@ def section_totals(mentions: DataFrame, slot: str | None = None) -> DataFrame:
 def label_by_section(mentions: DataFrame, sections: list[str], limit: int = 25) -> DataFrame:
     """Mentions of the most frequent labels per section."""
     top = mentions.groupBy("label_es").agg(F.count("*").alias("total")).orderBy(F.col("total").desc(), "label_es").limit(limit)
-    cells = mentions.groupBy("label_es").pivot("section", sections).agg(F.count("*")).fillna(0, sections)
+    cells = mentions.groupBy("label_es").pivot("section", sections).agg(F.count(F.lit(1))).fillna(0, sections)
     return cells.join(top, "label_es").select("label_es", *[f"`{s}`" for s in sections], "total").orderBy(
         F.col("total").desc(), "label_es"
     )

@@ -67,7 +67,7 @@ def term_grid(answers: DataFrame) -> DataFrame:
     return (
         answers.where("kind = 'grid'").withColumn("given", given)
         .groupBy(F.col("question").alias("grid"), F.col("row_label").alias("term"))
-        .pivot("given", columns).agg(F.count("*")).fillna(0, columns)
+        .pivot("given", columns).agg(F.count(F.lit(1))).fillna(0, columns)
     )
 
 

@@ -44,3 +44,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/citemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input enough tasks for the scan that follows.
+
+    One file of one row group is one task. Inputs beyond a full split per core already
+    have the tasks they need and are left alone, so large corpora are never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if size < cores * (128 << 20) else df
