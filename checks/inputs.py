@@ -191,3 +191,8 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT * FROM VALUES (0L, array('Listado', CAST(NULL AS STRING))), (1L, array(' ID ', 'Title', '', 'Title')) t(row_no, cells)"
     )
     return head.unionByName(body)
+
+
+def forget_stages() -> None:
+    """Rebuild stage tables on the next use."""
+    _stages.clear()

@@ -14,10 +14,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Class bodies. Java tests the members of a class one after the other, so they are few.
 WORD = r"\p{L}\p{N}_"
-SPACE = (
-    r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-)
+SPACE = r"\p{IsWhite_Space}\x1C-\x1F"
 _EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _OUTSIDE = {
     "w": f"[{WORD}]", "W": f"[^{WORD}]", "s": f"[{SPACE}]", "S": f"[^{SPACE}]",
@@ -30,8 +29,13 @@ _INSIDE = {
 _PIECES = re.compile(r"\\.|\(\?P<|\(\?P=(\w+)\)|\[\^?\]?|\]|&&|.", re.S)
 
 
-# Java's Unicode \\b is fast and differs from Python's only next to these characters.
-UNUSUAL = r"[\p{M}\p{No}\p{Pc}\p{So}\u200C\u200D&&[^_]]"
+# Java's Unicode \\b is fast and can differ from Python's only next to characters outside
+# these ranges (combining marks, superscripts, fractions, connectors, joiners, ...). The
+# ASCII test stands alone in front: most characters stop there.
+UNUSUAL = (
+    r"[[^\x00-\x7F]&&[^\x80-\xB1\xB4-\xB8\xBA\xBB\xBF-\u024F\u0391-\u03FF\u0400-\u0481\u048A-\u052F"
+    r"\u2010-\u2027\u2030-\u203E\u20A0-\u20BF\u4E00-\u9FFF]]"
+)
 
 
 def java_pattern(pattern: str, ignore_case: bool = True, fast_edges: bool = False) -> str:
@@ -62,8 +66,16 @@ def java_pattern(pattern: str, ignore_case: bool = True, fast_edges: bool = Fals
     return f"(?{flags})" + "".join(out)
 
 
-def matches_any(text: Column, patterns: list[str] | tuple[str, ...]) -> Column:
-    """True when one pattern of a family is found; an empty family never fires."""
+def is_unusual(text: Column) -> Column:
+    """Whether Java's fast word boundary may not be used on a text."""
+    return text.rlike(UNUSUAL)
+
+
+def matches_any(text: Column, patterns: list[str] | tuple[str, ...], unusual: Column | None = None) -> Column:
+    """True when one pattern of a family is found; an empty family never fires.
+
+    Pass ``unusual`` (see ``is_unusual``) when several families test the same text.
+    """
     if not patterns:
         return F.lit(False)
 
@@ -73,7 +85,15 @@ def matches_any(text: Column, patterns: list[str] | tuple[str, ...]) -> Column:
             return reduce(lambda x, y: x | y, [text.rlike(p) for p in rewritten])
         return text.rlike("|".join(f"(?:{p})" for p in rewritten))
 
-    return F.when(text.rlike(UNUSUAL), found(False)).otherwise(found(True))
+    return F.when(is_unusual(text) if unusual is None else unusual, found(False)).otherwise(found(True))
+
+
+def extract(text: Column, pattern: str, group: int, ignore_case: bool = True) -> Column:
+    """First match of a pattern, or empty text."""
+    exact, fast = (java_pattern(pattern, ignore_case, fast_edges=f) for f in (False, True))
+    return F.when(text.rlike(UNUSUAL), F.regexp_extract(text, exact, group)).otherwise(
+        F.regexp_extract(text, fast, group)
+    )
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from citemill.functions.regex import SPACE, WORD
 
-SENTENCE_BREAK = f"(?<=[.!?])[{SPACE}]+(?=[A-ZÁÉÍÓÚÜÑ0-9])"
+# a run of whitespace behind . ! ? and before a capital or digit; the run's first
+# character is tested before looking behind it
+SENTENCE_BREAK = f"[{SPACE}](?<=[.!?][{SPACE}])[{SPACE}]*(?=[A-ZÁÉÍÓÚÜÑ0-9])"
+_STARTER = "[A-ZÁÉÍÓÚÜÑ0-9]"
+_UP_TO_LAST_BREAK = f"(?s)^.*[.!?][{SPACE}]+(?={_STARTER})"
+_UP_TO_FIRST_BREAK = f"(?s)^.*?[.!?](?=[{SPACE}]+{_STARTER})"
 SENTENCE_REACH = 900
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
-RUN = f" [{SPACE}]+|[{SPACE}&&[^ ]][{SPACE}]*"
 PAGE_BREAK = "\f"
 PAGE_JOIN = "\n\f\n"
 
 
 def squash(text: Column) -> Column:
     """Collapse whitespace runs to one blank and trim; null becomes empty."""
-    # single blanks, the common case, stay untouched
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), RUN, " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " "))
 
 
 def clean_page(text: Column) -> Column:
@@ -73,8 +76,10 @@ def sentence_at(text: Column, start: Column, end: Column, reach: int = SENTENCE_
     """
     left = F.greatest(start - reach, F.lit(0))
     right = end + reach
-    head = F.element_at(F.split(cut(text, left, start + 1), SENTENCE_BREAK, -1), -1)
-    tail = F.split(cut(text, start, right), SENTENCE_BREAK, 2)[0]
+    head = F.regexp_replace(cut(text, left, start + 1), _UP_TO_LAST_BREAK, "")
+    rest = cut(text, start, right)
+    first = F.regexp_extract(rest, _UP_TO_FIRST_BREAK, 0)
+    tail = F.when(first != "", first).otherwise(rest)
     inside = squash(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), tail))
     walked = sentence_in(cut(text, left, right), start - left, context_window(text, start, end, 180))
     visible = ~cut(text, start, start + 1).rlike(f"^[{SPACE}]?$")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citemill import fixed
 from citemill.config import Protocol
-from citemill.functions.regex import contains_any, matches_any
+from citemill.functions.regex import contains_any, is_unusual, matches_any
 
 KEY = ["article_id", "entity_type", "entity_id"]
 EVIDENCE_ROWS = 3
@@ -23,8 +23,11 @@ def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str
     opening = F.concat_ws(" ", metadata, F.substring(text, 1, 1800))
     lowered = F.lower(metadata)
 
+    # the opening contains the metadata, so one test of its characters serves both
+    unusual = is_unusual(opening)
+
     def fires(family: str, where: Column) -> Column:
-        return matches_any(where, cues.get(family, []))
+        return matches_any(where, cues.get(family, []), unusual)
 
     return (
         F.when(fires("review", opening), "review_or_synthesis")

@@ -14,7 +14,7 @@ from citemill import fixed
 from citemill.config import Protocol, Term
 from citemill.functions import text as tx
 from citemill.functions.labels import section_weight
-from citemill.functions.regex import matches_any
+from citemill.functions.regex import is_unusual, matches_any
 from citemill.operators.scan import find_terms
 from citemill.operators.sections import section_at, with_sections
 
@@ -119,8 +119,10 @@ def find_mentions(articles: DataFrame, protocol: Protocol) -> DataFrame:
         .withColumn("entity", F.element_at(term_fields(protocol.terms), F.col("term") + 1))
         .select("*", "entity.*")
     )
+    rows = rows.withColumn("unusual", is_unusual(F.col("context")))
     for cue in fixed.MENTION_CUES:
-        rows = rows.withColumn(f"cue_{cue}", matches_any(F.col("context"), protocol.cues.get(cue, [])))
+        flag = matches_any(F.col("context"), protocol.cues.get(cue, []), F.col("unusual"))
+        rows = rows.withColumn(f"cue_{cue}", flag)
     return rows.withColumn("score", mention_score(protocol.weights)).select(
         "article_id", "source_path", "article_kind", "mention_idx", "nth",
         "entity_type", "entity_id", "label_es", "label_en", "category", "is_generic",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from citemill import fixed
 from citemill.config import Protocol
 from citemill.functions.labels import first_filled
-from citemill.functions.regex import matches_any
+from citemill.functions.regex import is_unusual, matches_any
 from citemill.functions.text import squash
 
 PAIR = ["article_id", "entity_a_id", "entity_b_id"]
@@ -46,10 +46,10 @@ def evidence_section() -> Column:
     return F.least(*sides)["s"]
 
 
-def evidence_points(evidence: Column, cues: dict[str, list[str]]) -> Column:
+def evidence_points(evidence: Column, cues: dict[str, list[str]], unusual: Column | None = None) -> Column:
     points = F.lit(0)
     for family, value in fixed.EVIDENCE_POINTS.items():
-        points = points + F.when(matches_any(evidence, cues.get(family, [])), value).otherwise(0)
+        points = points + F.when(matches_any(evidence, cues.get(family, []), unusual), value).otherwise(0)
     return points
 
 
@@ -134,9 +134,9 @@ def near_pairs(mentions: DataFrame, distance: int) -> DataFrame:
 def best_pairs(mentions: DataFrame, protocol: Protocol) -> DataFrame:
     """Highest-scoring quotation per (article, A, B); the earliest pair wins ties."""
     pairs = sentence_pairs(mentions).unionByName(near_pairs(mentions, protocol.relation_distance))
-    scored = pairs.withColumn(
-        "confidence_score",
-        (F.col("base_score") + evidence_points(F.col("evidence"), protocol.cues)).cast("int"),
+    points = evidence_points(F.col("evidence"), protocol.cues, F.col("unusual"))
+    scored = pairs.withColumn("unusual", is_unusual(F.col("evidence"))).withColumn(
+        "confidence_score", (F.col("base_score") + points).cast("int")
     )
     return (
         scored.groupBy(*PAIR)
