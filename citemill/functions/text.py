@@ -110,6 +110,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[{WORD}]+"))
 
 
+def has_words(text: Column, n: int) -> Column:
+    """Whether a text has at least ``n`` words; reads no further than the n-th."""
+    return text.rlike(f"^[^{WORD}]*+(?:[{WORD}]++[^{WORD}]*+){{{n}}}")
+
+
 def page_breaks(text: Column) -> Column:
     """Offsets of the form feeds of a text, computed once per article."""
     parts = F.split(text, PAGE_BREAK, -1)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.functions.labels import first_filled
-from citemill.functions.regex import matches_any
+from citemill.functions.regex import is_unusual, matches_any
+from citemill.session import store
 
 SEPARATOR = " > "
 NODE = (
@@ -36,7 +37,7 @@ def flatten_taxonomy(nodes: DataFrame, root_label: str, slot: str, full_path: bo
     terms = level.where("kind = 'term'")
     for _ in range(MAX_DEPTH):
         parents = level.where("kind = 'category'").select(F.col("node_id").alias("parent_id"), "path")
-        level = nodes.join(parents, "parent_id").withColumn("path", extend(F.col("path")))
+        level = store(nodes.join(parents, "parent_id").withColumn("path", extend(F.col("path"))), "level")
         if level.isEmpty():
             break
         terms = terms.unionByName(level.where("kind = 'term'"))
@@ -106,11 +107,11 @@ def check_samples(samples: DataFrame, terms) -> DataFrame:
     expressions on the sample row, so samples are never multiplied by the dictionary.
     """
     found = F.filter(
-        F.array(*[F.when(matches_any(F.col("text"), list(t.patterns)), t.entity_id) for t in terms]),
+        F.array(*[F.when(matches_any(F.col("text"), list(t.patterns), F.col("unusual")), t.entity_id) for t in terms]),
         lambda i: i.isNotNull(),
     )
     known = F.array(*[F.lit(t.entity_id) for t in terms])
-    rows = samples.withColumn("matched", found)
+    rows = samples.withColumn("unusual", is_unusual(F.col("text"))).withColumn("matched", found)
     return rows.select(
         "sample_id",
         F.array_except(F.array_intersect("expect", known), "matched").alias("missing"),

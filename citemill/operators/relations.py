@@ -6,8 +6,8 @@ Two mentions can be quoted together in two ways, and each way has its own join:
   all pairs of that sentence, so the best pair is the best A mention with the best B
   mention; one representative per (sentence, entity) is enough and repeated
   boilerplate never multiplies out.
-* they lie within ``relation_distance`` characters. The join key is (article, block of
-  that many characters), so even one huge article spreads over many tasks.
+* they lie within ``relation_distance`` characters. The join key is (article, text block),
+  so even one huge article spreads over many tasks.
 
 Candidates meet in one partial aggregate per (article, A, B) that keeps the best.
 """
@@ -109,12 +109,14 @@ def sentence_pairs(mentions: DataFrame) -> DataFrame:
 
 def near_pairs(mentions: DataFrame, distance: int) -> DataFrame:
     """Pairs whose joint span fits in ``distance`` and that no sentence quotes."""
-    width = max(1, distance)
+    # blocks four distances wide: few B mentions lie near an edge and need a second copy
+    width = max(1, 4 * distance)
     slim = _slim(mentions).withColumn("sentence_key", F.when(F.col("in_sentence"), F.col("sentence")))
     columns = ["entity_id", "mention_idx", "start", "end", "section", "score", "form", "sentence_key", "ahead", "article_kind"]
     a = _side(slim, "a", columns).withColumn("block", F.floor(F.col("start_a") / width))
     b = _side(slim, "b", columns).withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("start_b") / width) - 1, F.floor(F.col("start_b") / width) + 1))
+        "block",
+        F.explode(F.sequence(F.floor((F.col("start_b") - distance) / width), F.floor((F.col("start_b") + distance) / width))),
     )
     span = F.greatest("end_a", "end_b") - F.least("start_a", "start_b")
     quoted = F.coalesce(F.col("sentence_key_a") == F.col("sentence_key_b"), F.lit(False))

@@ -81,8 +81,12 @@ def feature_stats(features: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def standardised(features: DataFrame, articles: DataFrame) -> DataFrame:
-    """z-scores of the stored values; an absent value stands for ``-mean / deviation``."""
-    return features.join(feature_stats(features, articles), "feature").select(
+    """z-scores of the stored values; an absent value stands for ``-mean / deviation``.
+
+    The statistics have one row per feature, a list bounded by the dictionary and the
+    fixed vocabularies, and a common feature must not become a hot join key.
+    """
+    return features.join(F.broadcast(feature_stats(features, articles)), "feature").select(
         "article_id", "feature", ((F.col("value") - F.col("mean")) / F.col("deviation")).alias("z")
     )
 

@@ -15,6 +15,15 @@ from citemill.operators.groups import first_ids, top_rows
 PAIR = ["entity_a_label", "entity_b_label"]
 
 
+def _grand_total(column: str) -> Column:
+    """Sum over a table of one row per dictionary label or section.
+
+    A window over that small table, not a second aggregate: a scalar subquery would run the
+    scan behind the table twice.
+    """
+    return F.sum(column).over(W.partitionBy(F.lit(0)))
+
+
 def detection_frequency(summaries: DataFrame, slot: str, limit: int = 35) -> DataFrame:
     """Articles per label where the entity has a clear, non-bibliographic role."""
     label = first_filled(F.col("label_es"), F.col("label_en"))
@@ -22,9 +31,10 @@ def detection_frequency(summaries: DataFrame, slot: str, limit: int = 35) -> Dat
         summaries.where((F.col("entity_type") == slot) & in_vocabulary(F.col("role"), fixed.FREQUENCY_ROLES))
         .groupBy(label.alias("label")).agg(F.count("*").alias("articles"))
     )
-    shown = counts.orderBy(F.col("articles").desc(), "label").limit(limit)
-    total = counts.agg(F.count("*").alias("n")).scalar()
-    return shown.select("label", "articles", F.greatest(F.lit(0), total - limit).alias("labels_not_shown"))
+    labels = counts.withColumn("one", F.lit(1)).withColumn("labels", _grand_total("one"))
+    return labels.orderBy(F.col("articles").desc(), "label").limit(limit).select(
+        "label", "articles", F.greatest(F.lit(0), F.col("labels") - limit).alias("labels_not_shown")
+    )
 
 
 def _count_by(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -132,11 +142,10 @@ def mention_totals(mentions: DataFrame, slot: str | None = None) -> DataFrame:
         .groupBy("label_es", "category")
         .agg(F.sum("n").alias("menciones_totales"), F.count("*").alias("articulos_unicos"))
     )
-    total = counts.agg(F.sum("menciones_totales").alias("n")).scalar()
     return counts.select(
         F.col("label_es").alias("contaminante"), F.col("category").alias("categoria"),
         "menciones_totales", "articulos_unicos",
-        (F.col("menciones_totales") / total * 100).alias("porcentaje_menciones"),
+        (F.col("menciones_totales") / _grand_total("menciones_totales") * 100).alias("porcentaje_menciones"),
     ).orderBy(F.col("menciones_totales").desc(), F.col("articulos_unicos").desc(), "contaminante")
 
 
@@ -147,10 +156,9 @@ def section_totals(mentions: DataFrame, slot: str | None = None) -> DataFrame:
     known = F.array(*[F.lit(s) for s in fixed.SECTION_REPORT_LABELS])
     listed = mentions.sparkSession.range(1).select(F.posexplode(known).alias("place", "section"))
     joined = listed.join(counts, "section", "full")
-    total = counts.agg(F.sum("n").alias("n")).scalar()
     number = F.coalesce("n", F.lit(0).cast("long"))
-    return joined.orderBy(F.col("place").asc_nulls_last(), F.col("n").desc(), "section").select(
-        "section", number.alias("menciones_totales"), (number / total * 100).alias("porcentaje_menciones"),
+    return joined.withColumn("total", _grand_total("n")).orderBy(F.col("place").asc_nulls_last(), F.col("n").desc(), "section").select(
+        "section", number.alias("menciones_totales"), (number / F.col("total") * 100).alias("porcentaje_menciones"),
         lookup(F.col("section"), fixed.SECTION_REPORT_LABELS, F.col("section")).alias("seccion"),
     )
 

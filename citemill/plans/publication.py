@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citemill import fixed
 from citemill.config import Protocol
 from citemill.functions.labels import clip, counts_to_json, first_filled, lookup, relation_weight, section_weight, yes_no
-from citemill.operators.groups import first_ids, top_rows
+from citemill.operators.groups import first_ids
 from citemill.operators.sampling import sample_coverage, stratified_sample
 
 META = ["title", "year", "doi"]
@@ -57,8 +57,9 @@ def term_values(mentions: DataFrame, articles: DataFrame) -> DataFrame:
     n, _ = corpus_size(articles)
     frequency = counts.groupBy("entity_type", "entity_id").agg(F.count("*").alias("df"))
     words = articles.where("text_extractable").select("article_id", "word_count")
+    # one row per dictionary entry at most; a frequent entity must not become a hot join key
     return (
-        counts.join(frequency, ["entity_type", "entity_id"])
+        counts.join(F.broadcast(frequency), ["entity_type", "entity_id"])
         .join(words, "article_id")
         .select(
             "article_id", "entity_type", "entity_id",

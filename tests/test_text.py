@@ -32,6 +32,12 @@ def test_word_count_matches_python_words(spark):
     assert column(spark, texts, tx.word_count(F.col("t"))) == [len(re.findall(r"\b\w+\b", t)) for t in texts]
 
 
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_has_words_agrees_with_the_count(spark, n):
+    texts = random_texts(300, 60, seed=n)
+    assert column(spark, texts, tx.has_words(F.col("t"), n)) == [len(re.findall(r"\b\w+\b", t)) >= n for t in texts]
+
+
 @pytest.mark.parametrize("pattern", [
     r"\bae\b", r"\be\b", r"a\s+a", r"[\s.]e", r"\w\W\w", r"\d", r"(?P<x>a)(?P=x)", r"(a)\1", r"^\s*a", r"(?im)^\s*(a|é)\b", r"k", r"s\b",
     r"[^\s\w]", r"[[a]", r"a\Z", r"\Be", r"(?:a|1)\b", r"[]a]\b"])
