@@ -50,6 +50,11 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     first = occurrences.withColumn("nth", F.row_number().over(in_document)).where("nth = 1")
     common = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
     dropped = hashes.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    return words_of(dropped)
+
+
+def words_of(dropped: DataFrame) -> DataFrame:
+    """Dropped lines (doc_id, text_hash, pos) as keep bitmaps."""
     words = dropped.groupBy("doc_id", "text_hash", F.shiftright("pos", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("out"))
     return words.groupBy("doc_id", "text_hash").agg(

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm import line_dedup, token_files, url_filter
+from citemill.llm import line_dedup, line_quality, simhash, token_files, url_filter
 from citemill.llm.common import table
 from citemill.session import checkpoint_dir
 
@@ -32,4 +32,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder, 50_257)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter, "op4_token_files": op4_token_files}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter, "op4_token_files": op4_token_files, "op5_simhash": op5_simhash,
+    "op6_line_quality": op6_line_quality,
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from citemill.llm.line_quality import MAX_DOCS, MIN_LEFT
 from citemill.llm.url_filter import HOST_RULES, PATTERNS, pattern_regex
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -30,4 +31,21 @@ bad AS (SELECT DISTINCT page_id FROM p, patterns WHERE regexp_matches({_LOWER.fo
 SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN bad.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN fit USING (page_id) LEFT JOIN bad USING (page_id)"""
 
-ORACLES = {"op1_line_dedup": OP1, "op2_url_filter": OP2}
+OP6 = f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS seen FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, seen) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
+l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM w),
+n AS (SELECT *, trim(regexp_replace({_LOWER.format("line")}, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM l),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n WHERE norm <> '' GROUP BY doc_id),
+often AS (SELECT source, norm FROM n WHERE norm <> '' GROUP BY source, norm HAVING count(DISTINCT text) > {MAX_DOCS}),
+gone AS (SELECT n.doc_id, sum(length(replace(n.norm, ' ', ''))) AS chars FROM n JOIN often o ON n.norm = o.norm AND n.source IS NOT DISTINCT FROM o.source GROUP BY n.doc_id),
+b AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.chars, 0) AS gone
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (gone > 0 AND word_chars - gone < {MIN_LEFT}::DOUBLE * word_chars) AS kept FROM j"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op6_line_quality": OP6}
