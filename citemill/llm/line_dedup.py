@@ -49,7 +49,8 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     in_document = W.partitionBy(*order).orderBy("text_hash", "pos")  # the sort above serves it, without a shuffle
     first = occurrences.withColumn("nth", F.row_number().over(in_document)).where("nth = 1")
     common = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
-    dropped = hashes.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    # a written table: of known size, and the join below can then split a hot key
+    dropped = hashes.join(store(common, "common-lines"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return words_of(dropped)
 
 

@@ -92,7 +92,8 @@ def common_lines(documents: DataFrame, host: str = "source", max_docs: int = MAX
     hashed = store(hashed, "host-lines")
     once = hashed.groupBy("line_hash", "text_hash").agg(F.lit(1).alias("one"))
     common = once.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
-    return hashed.join(common, "line_hash").select("doc_id", "text_hash", "pos", "chars").distinct()
+    # a written table: of known size, and the join can then split a hot line
+    return hashed.join(store(common, "host-common-lines"), "line_hash").select("doc_id", "text_hash", "pos", "chars").distinct()
 
 
 def removed_bitmaps(lines: DataFrame) -> DataFrame:

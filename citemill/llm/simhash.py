@@ -81,7 +81,7 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).alias("pair"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(PAIRS)])
     rows = nodes.select("fingerprint", F.explode(keys).alias("k")).select("fingerprint", "k.pair", "k.key")
     sizes = rows.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    grouped = rows.join(sizes, ["pair", "key"])
+    grouped = rows.join(store(sizes, "block-groups"), ["pair", "key"])  # written, so the join can split a hot group
 
     small = grouped.where(F.col("n") <= group).withColumn("table", pivot_table).groupBy("pair", "key").agg(
         F.collect_list(F.struct("fingerprint", "table")).alias("members"))
@@ -112,4 +112,5 @@ def near_duplicates(documents: DataFrame, size: int = SIZE) -> DataFrame:
     linked = nodes.join(roots, "fingerprint")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fingerprint", "component_id")
     classes = nodes.join(named, "fingerprint", "left").select("fingerprint", "first_id", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(classes, "fingerprint", "left").select("doc_id", "fingerprint", "component_id", "first_id")
+    # a written table, so the join can split the rows of one fingerprint
+    return prints.join(store(classes, "fingerprint-classes"), "fingerprint", "left").select("doc_id", "fingerprint", "component_id", "first_id")
