@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm import line_dedup, line_quality, simhash, token_files, url_filter
+from citemill.llm import decontamination, line_dedup, line_quality, secret_scan, simhash, token_files, toxicity, url_filter
 from citemill.llm.common import table
 from citemill.session import checkpoint_dir
 
@@ -42,7 +42,28 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, scorer)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that holds a test item, with that item."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontamination.contaminated(docs, items)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter, "op4_token_files": op4_token_files, "op5_simhash": op5_simhash,
-    "op6_line_quality": op6_line_quality,
+    "op6_line_quality": op6_line_quality, "op7_secret_scan": op7_secret_scan, "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
 }
