@@ -52,14 +52,18 @@ class Encoder:
     texts are cut there and each distinct unit is tokenized once. Texts with other white
     space next to such a cut, or with the special token, are given to the library as a whole.
     ``cache_size`` bounds the units remembered by a Python worker; it does not change results.
+    When half of it is full, units not met since the half before are forgotten.
     """
 
-    def __init__(self, path: str, dtype: np.dtype, cache_size: int = 400_000):
+    def __init__(self, path: str, dtype: np.dtype, cache_size: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.cache_size = Tokenizer.from_file(path), dtype, cache_size
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids of pieces that begin with the space
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -67,18 +71,35 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        units = text.split(" ")
-        units[1:] = [" " + u for u in units[1:]]
-        if new := set(units).difference(self.cache):
-            if any(not (v := u.removeprefix(" ")) or v[0].isspace() or v[-1].isspace() for u in new):
+        first, *units = text.split(" ")  # units after the first stand without their space
+        if first[:1].isspace() or first[-1:].isspace() or not first:
+            return self.whole(text)
+        ids = list(map(self.cache.get, units))
+        if None in ids:
+            new = {u for u, i in zip(units, ids, strict=True) if i is None}
+            if len(self.cache) + len(new) > self.cache_size // 2:
+                self.cache, self.older, new = {}, self.cache, set(units)
+            if not self.learn(new):
                 return self.whole(text)
-            if len(self.cache) + len(new) > self.cache_size:
-                self.cache = {}
-                new = set(units)
-            new = list(new)
-            for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.cache[u] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(self.cache.__getitem__, units))
+            ids = map(self.cache.__getitem__, units)
+        return self.whole(first) + b"".join(ids)
+
+    def learn(self, new: set[str]) -> bool:
+        """Remember the ids of units, from the half before or in one call to the library; False if one can't stand alone."""
+        if self.older:
+            known = self.older.keys() & new
+            self.cache.update({u: self.older[u] for u in known})
+            new = new - known
+        if any(not u or u[0].isspace() or u[-1].isspace() for u in new):
+            return False
+        names = list(new)
+        ids = np.array(self.tokenizer.encode("".join([" " + u for u in names]), add_special_tokens=False).ids, self.dtype)
+        cuts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist() + [len(ids) * self.dtype.itemsize]
+        if len(cuts) != len(names) + 1:
+            return False
+        raw = ids.tobytes()
+        self.cache.update({u: raw[a:b] for u, a, b in zip(names, cuts, cuts[1:])})
+        return True
 
 
 @lru_cache(maxsize=2)
@@ -162,7 +183,8 @@ def read_documents(spark: SparkSession, folder: str, vocabulary: int) -> DataFra
         return spark.createDataFrame([], columns)
     files = files_of(spark, folder, vocabulary)
     if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getScheme() in (None, "file"):
-        return files.select("ids_path", "index_path", "base").repartition("ids_path").mapInPandas(mapped, columns)
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a count, so that small files don't end in one task
+        return files.repartition(tasks, "shard").select("ids_path", "index_path", "base").mapInPandas(mapped, columns)
     content = lambda kind: spark.read.format("binaryFile").load(f"{folder}/kind={kind}").select(F.col("path").alias(f"{kind}_path"), F.col("content").alias(kind))
     both = files.join(content("ids"), "ids_path").join(content("index"), "index_path")
     return both.select("ids", "index", "base").mapInPandas(fetched, columns)
