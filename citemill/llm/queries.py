@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm import decontamination, line_dedup, line_quality, secret_scan, simhash, token_files, toxicity, url_filter
+from citemill.llm import decontamination, html_text, line_dedup, line_quality, mixing, secret_scan, simhash, token_files, toxicity, url_filter
 from citemill.llm.common import table
 from citemill.session import checkpoint_dir
 
@@ -23,6 +23,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and epoch that the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select(
+        "doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"),
+        F.col("mix_take").alias("take"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,8 +70,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, items)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
-    "op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter, "op4_token_files": op4_token_files, "op5_simhash": op5_simhash,
+    "op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter, "op3_mixing": op3_mixing,
+    "op4_token_files": op4_token_files, "op5_simhash": op5_simhash,
     "op6_line_quality": op6_line_quality, "op7_secret_scan": op7_secret_scan, "op8_decontamination": op8_decontamination,
-    "op9_toxicity": op9_toxicity,
+    "op9_toxicity": op9_toxicity, "op10_html_text": op10_html_text,
 }

@@ -63,15 +63,15 @@ def fingerprint(text: bytes, size: int = SIZE) -> int:
 
 
 def fingerprints(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, fingerprint) of each row; the fingerprint as a signed 64-bit number."""
+    """(doc_id, text_hash, fingerprint) of each row; the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in binary_rows(batches, "text"):
             found = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fingerprint"])
 
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("binary").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("text"))
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, fingerprint bigint")
 
 
 def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
@@ -105,12 +105,27 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, fingerprint, component_id, first_id) of each row; ``first_id`` is the smallest doc_id of the same fingerprint."""
+    """(doc_id, text_hash, fingerprint, root, component_id) of each row; ``root`` is one fingerprint of the component."""
     prints = store(fingerprints(documents, size), "fingerprints")
     nodes = store(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = connected_components(links(nodes.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
     linked = nodes.join(roots, "fingerprint")
-    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fingerprint", "component_id")
-    classes = nodes.join(named, "fingerprint", "left").select("fingerprint", "first_id", F.coalesce("component_id", "first_id").alias("component_id"))
+    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fingerprint", "root", "component_id")
+    classes = nodes.join(named, "fingerprint", "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
     # a written table, so the join can split the rows of one fingerprint
-    return prints.join(store(classes, "fingerprint-classes"), "fingerprint", "left").select("doc_id", "fingerprint", "component_id", "first_id")
+    return prints.join(store(classes, "fingerprint-classes"), "fingerprint", "left").select("doc_id", "text_hash", "fingerprint", "root", "component_id")
+
+
+def drop_near_duplicates(documents: DataFrame, size: int = SIZE) -> DataFrame:
+    """One document of each component, with all its columns: that of the smallest doc_id, then text hash; null ids come last.
+
+    Rows meet the kept (doc_id, text hash) in one shuffle, which also leaves one of several equal rows.
+    """
+    found = near_duplicates(documents, size)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("first"))
+    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(1 << 63)))
+    kept = store(first.select(key("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "kept-documents")
+    rows = documents.select(key("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    one = rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return one.select(*[F.col(f"_row.`{c}`").alias(c) for c in documents.columns])

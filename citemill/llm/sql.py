@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from citemill.llm.line_quality import MAX_DOCS, MIN_LEFT
+from citemill.llm.mixing import PRODUCTION, Mix
 from citemill.llm.url_filter import HOST_RULES, PATTERNS, pattern_regex
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,6 +32,50 @@ bad AS (SELECT DISTINCT page_id FROM p, patterns WHERE regexp_matches({_LOWER.fo
 SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN bad.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN fit USING (page_id) LEFT JOIN bad USING (page_id)"""
 
+
+
+def _case(column: str, values: dict, other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v) if isinstance(v, str) else v}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+def _share(name: str, nodes: str, parent: str, label: str) -> str:
+    """CTEs that give each node its budget from ``given``."""
+    by = f"PARTITION BY {parent}"
+    return f"""
+{name}_a AS (SELECT *, coalesce(sum(capacity) OVER ({by} ORDER BY capacity / weight, {label} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+  sum(weight) OVER ({by} ORDER BY capacity / weight, {label} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left FROM {nodes}),
+{name}_b AS (SELECT *, (given - full_before) * weight >= capacity::HUGEINT * weight_left AS is_full FROM {name}_a),
+{name}_c AS (SELECT *, given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({by}) AS rest_of,
+  greatest(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}), 1) AS open_weight FROM {name}_b),
+{name}_d AS (SELECT *, CASE WHEN is_full THEN capacity ELSE (rest_of * weight) // open_weight END AS part FROM {name}_c),
+{name} AS (SELECT *, part + CASE WHEN NOT is_full AND row_number() OVER ({by}, is_full ORDER BY {label})
+  <= rest_of - sum(CASE WHEN is_full THEN 0 ELSE part END) OVER ({by}) THEN 1 ELSE 0 END AS budget FROM {name}_d)"""
+
+
+def mixing_ctes(mix: Mix, documents: str) -> str:
+    """CTEs up to ``mixed(doc_id, domain, lang, source, epoch, tokens, take)``."""
+    return f"""
+mix_docs AS (SELECT doc_id, {_case("coalesce(source, '')", mix.domain_of, _quoted(mix.other))} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM {documents}),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS available, {mix.max_epochs} * sum(tokens)::BIGINT AS capacity,
+  {_case("source", mix.sources, "1")} AS weight FROM mix_docs GROUP BY ALL),
+d0 AS (SELECT domain, sum(capacity)::BIGINT AS capacity, sum(available)::BIGINT AS available, {_case("domain", mix.domains, "1")} AS weight FROM leaves GROUP BY domain),
+d1 AS (SELECT *, 0 AS root, least(floor(sum(available) OVER () * {mix.percent} / 100)::BIGINT, sum(capacity) OVER ()) AS given FROM d0), {_share("d2", "d1", "root", "domain")},
+g1 AS (SELECT l.domain, l.lang, sum(l.capacity)::BIGINT AS capacity, {_case("l.lang", mix.languages, "1")} AS weight, any_value(d2.budget) AS given
+  FROM leaves l JOIN d2 USING (domain) GROUP BY l.domain, l.lang), {_share("g2", "g1", "domain", "lang")},
+s1 AS (SELECT l.*, g2.budget AS given FROM leaves l JOIN g2 USING (domain, lang)), {_share("s2", "s1", "domain, lang", "source")},
+shares AS (SELECT domain, lang, source, CASE WHEN available > 0 THEN budget // available ELSE 0 END AS whole,
+  CASE WHEN available > 0 THEN budget % available ELSE 0 END AS rest FROM s2),
+keyed AS (SELECT k.*, whole, rest, substr(md5(concat_ws('|', '{mix.seed}', whole::BIGINT::VARCHAR, doc_id::VARCHAR)), 1, 16) AS key
+  FROM mix_docs k JOIN shares USING (domain, lang, source)),
+placed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM keyed),
+mixed AS (SELECT doc_id, domain, lang, source, epoch, tokens, CASE WHEN epoch = whole THEN least(tokens, rest - start) ELSE tokens END AS take
+  FROM placed, range({mix.max_epochs + 1}) r(epoch) WHERE epoch < whole OR epoch = whole AND start < rest)"""
+
+
+OP3 = f"""WITH {mixing_ctes(PRODUCTION, "documents")}
+SELECT doc_id, domain, lang, source, epoch, tokens, take FROM mixed"""
+
 OP6 = f"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS seen FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
@@ -48,4 +93,4 @@ j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (gone > 0 AND word_chars - gone < {MIN_LEFT}::DOUBLE * word_chars) AS kept FROM j"""
 
-ORACLES = {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op6_line_quality": OP6}
+ORACLES = {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op3_mixing": OP3, "op6_line_quality": OP6}

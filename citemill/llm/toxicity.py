@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,14 +259,22 @@ def learn(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSIT
     return Scorer(channel, scorer.odds, fit_weights(x, y))
 
 
+def score_of(scorer: Scorer, text: str = "text") -> Column:
+    """The score as a column: rows keep all their columns, and nothing is shuffled."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([scorer.score((t or b"").decode("utf-8", "replace")) for t in texts], dtype="float64")
+
+    return run(text_of(text).cast("binary"))
+
+
 def score(documents: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
+    scored = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), score_of(scorer).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in binary_rows(batches, "text"):
-            found = [scorer.score(t.decode("utf-8", "replace")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("binary").alias("text"))
-    scored = docs.mapInArrow(run, "doc_id bigint, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with a score below one half, with all their columns."""
+    return documents.where(score_of(learn(documents, labels)) < 0.5)
