@@ -47,7 +47,7 @@ _ENDS = re.compile(r"[^\w@$|+(<€£]+$|^[^\w@$!|+(<€£]+")
 _MARKS = re.compile(r"[%&*#$!?.,;:)\]}>\"']+$")
 _TRIPLE = re.compile(r"(.)\1\1")
 #: Channel costs: a look-alike, a mark that hides nothing (at an end, inside), a mark that parts words, collapsed and doubled letters.
-SWAP, DROP, INSIDE, KEEP, SINGLE, DOUBLE = 1.0, 2.5, 6.0, 6.0, 0.5, 1.0
+SWAP, DROP, INSIDE, KEEP, SINGLE, DOUBLE = 1.0, 4.0, 9.0, 9.0, 0.5, 1.0
 
 
 def symbol(c: str) -> int:
@@ -90,7 +90,7 @@ class Channel:
         for m in re.finditer(r"(.)\1*", word, re.DOTALL):
             c, n = m[1], m.end() - m.start()
             if symbol(c):
-                yield [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, 3 * DOUBLE)] if n == 2 else [(c, SINGLE), (c * 2, DOUBLE)]
+                yield [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, 5 * DOUBLE)] if n == 2 else [(c, SINGLE), (c * 2, DOUBLE)]
             elif c in LOOKALIKES:
                 yield [(x * k, SWAP * min(n, 2)) for x in LOOKALIKES[c] for k in range(1, min(n, 2) + 1)] + [
                     ("", INSIDE if 0 < m.start() and m.end() < len(word) else DROP), (" ", KEEP)]
