@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import citemill
 from citemill.session import configure
 
 #: ASCII white space, as the contracts name it.
@@ -15,8 +19,25 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the package's settings, and send its modules to the executors once an application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(citemill.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / "citemill.zip"  # on the driver, which serves it
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, Path("citemill") / path.relative_to(root))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return configure(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(column: str = "text") -> Column:
