@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.plans.review import Review, describe_articles, run_review
-from citemill.session import configure, spread, store
+from citemill.session import configure, dealt, store
 from citemill.synthetic import PROTOCOL
 
 
@@ -19,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as undescribed articles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return spread(docs).select(
+    return dealt(docs).select(
         F.col("doc_id").cast("string").alias("article_id"), F.col("source").alias("source_path"), "text",
         F.lit(1).alias("pages"), F.lit("").alias("embedded_title"),
         F.create_map().cast("map<string,string>").alias("metadata"),
@@ -35,8 +33,7 @@ _stages: dict[tuple, object] = {}
 
 def _stage(spark: SparkSession, sf_dir: str, name: str, build):
     """Stage tables of one input are written once per application and shared by queries."""
-    stat = os.stat(f"{sf_dir}/documents.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, stat.st_mtime_ns, stat.st_size, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stages:
         _stages[key] = build()
     return _stages[key]

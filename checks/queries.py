@@ -25,6 +25,7 @@ from citemill.plans import review as rv
 from citemill.plans import survey as sv
 from citemill.plans import validation as va
 from citemill.sources.corpus import from_pages, natural_order, file_fields, with_metadata
+from citemill.session import dealt
 from citemill.sources.metadata import normalise_sheet
 from citemill.synthetic import PROTOCOL as P
 
@@ -543,16 +544,10 @@ def sample_assertions(spark, sf):
         F.col("doc_id").cast("string").alias("sample_id"), "text",
         F.when(F.col("lang") == "de", german).otherwise(none).alias("expect"),
         F.when(F.col("lang") == "de", none).otherwise(german).alias("reject"))
-    out = lx.check_samples(spread_samples(samples), P.terms)
+    out = lx.check_samples(dealt(samples), P.terms)
     return out.select("sample_id", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("missing", "false_positives", "unknown")])
 
 
-def spread_samples(samples):
-    from citemill.session import spread
-
-    return spread(samples)
-
-
 @query
 def survey_votes(spark, sf):
     return sv.votes(I.answers(spark, sf))
@@ -582,3 +577,10 @@ def survey_comments(spark, sf):
 @query
 def survey_profiles(spark, sf):
     return sv.profiles(I.answers(spark, sf))
+
+
+# --- sources and sinks: written, read back ----------------------------------------------------
+
+from checks.trips import TRIPS  # noqa: E402
+
+QUERIES.update(TRIPS)

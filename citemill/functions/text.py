@@ -1,12 +1,21 @@
-"""Text expressions. All of them are built-in column expressions."""
+"""Text expressions, all of them built-in but for one running sum of integers."""
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from citemill.functions.regex import SPACE, WORD
 
+# ship these helpers with the job: executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # a run of whitespace behind . ! ? and before a capital or digit; the run's first
 # character is tested before looking behind it
 SENTENCE_BREAK = f"[{SPACE}](?<=[.!?][{SPACE}])[{SPACE}]*(?=[A-ZÁÉÍÓÚÜÑ0-9])"
@@ -86,24 +95,30 @@ def sentence_at(text: Column, start: Column, end: Column, reach: int = SENTENCE_
     return F.when(visible, inside).otherwise(walked)
 
 
-def split_sentences(text: Column) -> Column:
-    """``array<struct<start, end, sentence>>`` over the whole text, empties dropped."""
-    row = "array<struct<start:int,end:int,sentence:string>>"
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(row).alias("out"))
+def running_starts(lengths: Column) -> Column:
+    """Where each part starts when parts of these lengths follow one another: linear, and only integers leave the JVM."""
 
-    def step(state: Column, part: Column) -> Column:
-        size, clean = F.length(part["body"]), squash(part["body"])
-        item = F.struct(
-            state["pos"].alias("start"), (state["pos"] + size).alias("end"), clean.alias("sentence")
-        )
-        return F.struct(
-            (state["pos"] + size + F.length(F.coalesce(part["gap"], F.lit("")))).alias("pos"),
-            F.when(clean != "", F.concat(state["out"], F.array(item)))
-            .otherwise(state["out"])
-            .alias("out"),
-        )
+    def starts(rows: pa.Array) -> pa.Array:
+        rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+        flat = rows.flatten().to_numpy(zero_copy_only=False).astype("int64")
+        before = np.concatenate([[0], np.cumsum(flat)])
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        edges = np.concatenate([[0], np.cumsum(sizes)]).astype("int64")
+        out = before[:-1] - np.repeat(before[edges[:-1]], sizes)
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(out, pa.int32()))
+
+    starts.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    return F.arrow_udf(starts, "array<int>")(lengths)
 
-    return F.aggregate(_with_breaks(F.coalesce(text, F.lit(""))), begin, step, lambda s: s["out"])
+
+def split_sentences(text: Column) -> Column:
+    """``array<struct<start, end, sentence>>`` over the whole text, empties dropped. Linear in the text."""
+    parts = _with_breaks(F.coalesce(text, F.lit("")))
+    lengths = F.transform(parts, lambda p: F.length(p["body"]) + F.length(F.coalesce(p["gap"], F.lit(""))))
+    placed = F.arrays_zip(running_starts(lengths).alias("start"), parts.alias("part"))
+    items = F.transform(placed, lambda p: F.struct(
+        p["start"].alias("start"), (p["start"] + F.length(p["part"]["body"])).alias("end"), squash(p["part"]["body"]).alias("sentence")))
+    return F.filter(items, lambda s: s["sentence"] != "")
 
 
 def word_count(text: Column) -> Column:

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from citemill import fixed
 from citemill.config import Protocol
 from citemill.functions.regex import contains_any, is_unusual, matches_any
+from citemill.operators.groups import top_rows
 
 KEY = ["article_id", "entity_type", "entity_id"]
 EVIDENCE_ROWS = 3
 CONTEXT_ROWS = 8
+OPENING_CHARS = 1800
 
 
 def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str, list[str]]) -> Column:
     """First matching study design, from metadata and the opening of the text."""
     metadata = F.concat_ws(" ", title, study_type)
-    opening = F.concat_ws(" ", metadata, F.substring(text, 1, 1800))
+    opening = F.concat_ws(" ", metadata, F.substring(text, 1, OPENING_CHARS))
     lowered = F.lower(metadata)
 
     # the opening contains the metadata, so one test of its characters serves both
@@ -93,39 +95,39 @@ def evidence_rank() -> list[Column]:
     ]
 
 
-def summarize(mentions: DataFrame, protocol: Protocol) -> DataFrame:
+def summarize(mentions: DataFrame, protocol: Protocol, kinds: DataFrame | None = None) -> DataFrame:
     """One row per (article, slot, entity).
 
-    One shuffle: the evidence ranking and the aggregate share the same partitioning.
-    Only the eight first contexts and the three best quotations of a group are kept
-    by the aggregate, whatever the number of mentions.
+    Counts and scores are partial aggregates without any text. The best quotations are ranked with a
+    limit that Spark applies in each task before the shuffle, and only the first contexts are
+    shuffled at all, so an entity with most of the mentions costs a few rows a task.
+    ``kinds`` (article_id, article_kind) replaces the kinds of the mention table.
     """
-    ranked = mentions.withColumn(
-        "evidence_no", F.row_number().over(W.partitionBy(*KEY).orderBy(*evidence_rank()))
-    )
     scored = F.col("section") != fixed.TERMINAL_SECTION
-    quote = F.concat(
-        F.lit("p."), F.col("page"), F.lit(" ["), F.col("section"), F.lit("] "), F.col("context")
-    )
     counts = [F.count_if(F.col("section") == s).alias(f"n_{s}") for s in protocol.sections]
     firsts = [
         F.min(F.when(F.col("section") == s, F.col("mention_idx"))).alias(f"first_{s}")
         for s in protocol.sections
     ]
-    rows = ranked.groupBy(*KEY).agg(
+    totals = mentions.groupBy(*KEY).agg(
         *[F.first(c).alias(c) for c in ("label_es", "label_en", "category", "article_kind")],
         F.count("*").cast("int").alias("n_mentions"),
         *counts, *firsts,
         F.sum(F.when(scored, F.col("score")).otherwise(0)).cast("int").alias("confidence_score"),
         F.count_if(scored & (F.col("cue_exposure") | F.col("cue_dose"))).alias("direct"),
         F.count_if(scored & F.col("cue_association")).alias("associated"),
-        F.collect_list(
-            F.when(F.col("nth") < CONTEXT_ROWS, F.struct("nth", "context"))
-        ).alias("contexts"),
-        F.collect_list(
-            F.when(F.col("evidence_no") <= EVIDENCE_ROWS, F.struct("evidence_no", quote.alias("quote")))
-        ).alias("quotes"),
     )
+    quote = F.concat(
+        F.lit("p."), F.col("page"), F.lit(" ["), F.col("section"), F.lit("] "), F.col("context")
+    )
+    best = top_rows(
+        mentions.select(*KEY, "section", "cue_dose", "cue_exposure", "score", "mention_idx", quote.alias("quote")),
+        KEY, evidence_rank(), EVIDENCE_ROWS, "evidence_no")
+    quotes = best.groupBy(*KEY).agg(F.collect_list(F.struct("evidence_no", "quote")).alias("quotes"))
+    contexts_of = mentions.where(F.col("nth") < CONTEXT_ROWS).groupBy(*KEY).agg(F.collect_list(F.struct("nth", "context")).alias("contexts"))
+    rows = totals.join(quotes, KEY).join(contexts_of, KEY)
+    if kinds is not None:
+        rows = rows.drop("article_kind").join(kinds.select("article_id", "article_kind"), "article_id")
 
     def total(names) -> Column:
         return reduce(lambda x, y: x + y, [F.col(f"n_{s}") for s in names if s in protocol.sections], F.lit(0))

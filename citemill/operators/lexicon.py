@@ -6,6 +6,11 @@ A taxonomy is a node table: node_id, parent_id (null at the root), position, kin
 
 from __future__ import annotations
 
+import re
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +18,20 @@ from citemill.functions.labels import first_filled
 from citemill.functions.regex import is_unusual, matches_any
 from citemill.session import store
 
+# ship these helpers with the job: executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEPARATOR = " > "
 NODE = (
     "node_id string, parent_id string, position string, kind string, entity_id string, label_es string, "
     "label_en string, generic boolean, patterns array<string>"
 )
-MAX_DEPTH = 64
 
 
 def flatten_taxonomy(nodes: DataFrame, root_label: str, slot: str, full_path: bool = True) -> DataFrame:
-    """Terms with their category path, one self-join per level.
+    """Terms with their category path, one self-join per level, to any depth.
+
+    A node id that repeats on its own path raises ``ValueError``.
 
     Unlabelled categories add no level; with ``full_path=False`` only the nearest
     labelled ancestor is kept. Terms without a label or pattern are dropped.
@@ -33,12 +42,17 @@ def flatten_taxonomy(nodes: DataFrame, root_label: str, slot: str, full_path: bo
         grown = F.concat(path, F.array(label)) if full_path else F.array(label)
         return F.when((F.col("kind") == "category") & (label != ""), grown).otherwise(path)
 
-    level = nodes.where(F.col("parent_id").isNull()).withColumn("path", extend(F.array().cast("array<string>")))
+    no_names = F.array().cast("array<string>")
+    level = nodes.where(F.col("parent_id").isNull()).withColumn("path", extend(no_names)).withColumn("above", no_names)
     terms = level.where("kind = 'term'")
-    for _ in range(MAX_DEPTH):
-        parents = level.where("kind = 'category'").select(F.col("node_id").alias("parent_id"), "path")
+    while True:
+        parents = level.where("kind = 'category'").select(
+            F.col("node_id").alias("parent_id"), "path", F.array_append("above", F.col("node_id")).alias("above"))
         level = store(nodes.join(parents, "parent_id").withColumn("path", extend(F.col("path"))), "level")
-        if level.isEmpty():
+        found = level.agg(F.count("*").alias("n"), F.max(F.when(F.array_contains("above", F.col("node_id")), F.col("node_id"))).alias("again")).first()
+        if found["again"] is not None:
+            raise ValueError(f"taxonomy node {found['again']} is its own ancestor")
+        if not found["n"]:
             break
         terms = terms.unionByName(level.where("kind = 'term'"))
     usable = terms.where((label != "") & (F.size(F.coalesce("patterns", F.array().cast("array<string>"))) > 0))
@@ -83,19 +97,31 @@ def node_counts(nodes: DataFrame) -> DataFrame:
     ).withColumn("has_terms", F.col("terms") > 0)
 
 
+def _reached(labels: pd.Series, patterns: pd.Series) -> pd.Series:
+    """Whether a pattern of the row is found in its label; a pattern that does not compile finds nothing."""
+
+    def finds(pattern: str | None, label: str) -> bool:
+        try:
+            return pattern is not None and re.search(pattern, label, re.IGNORECASE) is not None
+        except re.error:
+            return False
+
+    return pd.Series([any(finds(p, label) for p in ([] if ps is None else ps)) for label, ps in zip(labels, patterns, strict=True)], dtype=bool)
+
+
 def unreachable_labels(terms: DataFrame) -> DataFrame:
-    """Labels that no pattern of their own term matches.
+    """Labels that no pattern of their own term matches, by the regex dialect of the scan.
 
-    Patterns are data here, so each is applied as a per-row expression; Java's spelling
-    of the dialect is enough for a check.
+    Patterns are data here, one list for each row, so they run over (label, patterns) batches. A
+    pattern that does not compile leaves its label unreached.
     """
     labels = F.explode(F.array(
         F.struct(F.lit("es").alias("lang"), F.col("label_es").alias("label")),
         F.struct(F.lit("en").alias("lang"), F.col("label_en").alias("label")),
     ))
-    rows = terms.select("entity_id", "patterns", labels.alias("l"))
-    reached = F.exists("patterns", lambda p: F.regexp_like(F.col("l.label"), F.concat(F.lit("(?iuUd)"), p)))
-    return rows.where((F.coalesce("l.label", F.lit("")) != "") & ~F.coalesce(reached, F.lit(False))).select(
+    rows = terms.select("entity_id", "patterns", labels.alias("l")).where(F.coalesce("l.label", F.lit("")) != "")
+    reached = F.pandas_udf(_reached, "boolean")
+    return rows.where(~reached(F.col("l.label"), F.col("patterns"))).select(
         "entity_id", F.col("l.lang").alias("lang"), F.col("l.label").alias("label")
     )
 

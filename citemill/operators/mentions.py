@@ -28,15 +28,17 @@ def _blocks(text: Column) -> Column:
     )
 
 
-def explode_spans(articles: DataFrame, terms: tuple[Term, ...], keep_overlaps: bool = False) -> DataFrame:
+def explode_spans(articles: DataFrame, terms: tuple[Term, ...], keep_overlaps: bool = False, keep_empty: bool = False) -> DataFrame:
     """One row per match: article columns but ``text``, plus mention_idx, span and blocks.
 
+    With ``keep_empty`` an article without a match has one row with a null match.
+
     The outer explode plus filter is deliberate: a plain explode makes the optimizer
     repeat the scan function inside an inferred ``size(hits) > 0`` filter.
     """
     rest = [c for c in articles.columns if c != "text"]
     hits = articles.withColumn("hits", find_terms(F.col("text"), terms, keep_overlaps))
-    return (
+    rows = (
         hits.select(
             *rest,
             F.length("text").alias("text_chars"),
@@ -45,8 +47,8 @@ def explode_spans(articles: DataFrame, terms: tuple[Term, ...], keep_overlaps: b
             "hits",
         )
         .select(*rest, "text_chars", "breaks", "blocks", F.posexplode_outer("hits").alias("mention_idx", "hit"))
-        .where(F.col("hit").isNotNull())
     )
+    return rows if keep_empty else rows.where(F.col("hit").isNotNull())
 
 
 def with_fragment(hits: DataFrame, left: int, right: int) -> DataFrame:
@@ -83,22 +85,29 @@ def mention_score(weights: dict[str, int]) -> Column:
     return (score + F.when(F.col("is_generic"), fixed.GENERIC_POINTS).otherwise(0)).cast("int")
 
 
-def find_mentions(articles: DataFrame, protocol: Protocol) -> DataFrame:
+def find_mentions(articles: DataFrame, protocol: Protocol, carry: tuple[str, ...] = ()) -> DataFrame:
     """Mentions of all protocol terms in the extractable articles.
 
     ``articles`` needs article_id, source_path, text, pages, text_extractable and
     article_kind. Besides the exported columns the result carries ``nth`` (order of a
     mention among those of its term), ``left_text`` / ``right_text`` for concordances
     and ``ahead``, the text a pair starting here may quote.
+
+    ``carry`` names article columns that the first row of each article returns as the struct
+    ``article``, so one pass over the texts gives both tables. Every article has a row then; it has a
+    null ``start`` where there is no mention.
     """
     if not protocol.terms:
         raise ValueError("the protocol has no terms")
     reach = max(tx.SENTENCE_REACH, protocol.context_radius, protocol.kwic_radius)
     ahead = max(reach, protocol.relation_distance)
-    source = articles.where("text_extractable").select(
-        "article_id", "source_path", "article_kind", "pages", "text"
-    )
-    hits = explode_spans(with_sections(source, protocol.headers), protocol.terms).select(
+    columns = ["article_id", "source_path", "article_kind", "pages"]
+    if carry:
+        text = F.when(F.col("text_extractable"), F.col("text")).alias("text")
+        source = articles.select(*columns, text, F.struct(*carry).alias("article"))
+    else:
+        source = articles.where("text_extractable").select(*columns, "text")
+    hits = explode_spans(with_sections(source, protocol.headers), protocol.terms, keep_empty=bool(carry)).select(
         "*", "hit.*"
     )
     hits = with_fragment(
@@ -128,4 +137,5 @@ def find_mentions(articles: DataFrame, protocol: Protocol) -> DataFrame:
         "entity_type", "entity_id", "label_es", "label_en", "category", "is_generic",
         "matched_text", "section", "start", "end", "page", "context", "sentence",
         *[f"cue_{c}" for c in fixed.MENTION_CUES], "score", "left_text", "right_text", "ahead",
+        *([F.when(F.coalesce("mention_idx", F.lit(0)) == 0, F.col("article")).alias("article")] if carry else []),
     )

@@ -11,7 +11,8 @@ from citemill.functions.regex import contains_any, extract
 from citemill.functions.text import LINE_BREAK, squash
 from citemill.operators.groups import top_rows
 
-SCANNED_CHARS = 12000
+# how far into a text the reference rules look for a title's words, a year and a DOI
+SCANNED_CHARS, YEAR_CHARS, DOI_CHARS = 12000, 4000, 10000
 
 
 def title_tokens(title: Column, stopwords=fixed.TITLE_STOPWORDS, token: str = fixed.TITLE_TOKEN) -> Column:
@@ -32,30 +33,57 @@ def from_row(row: Column, keys: tuple[str, ...]) -> Column:
     return first_filled(*[F.element_at(row, F.lit(k)) for k in keys])
 
 
-def choose_metadata(articles: DataFrame, sources: DataFrame, keys=fixed.TITLE_KEYS,
-                    stopwords=fixed.TITLE_STOPWORDS, token: str = fixed.TITLE_TOKEN) -> DataFrame:
-    """Add ``metadata map<string,string>``: the source row whose title fits the text best.
+def best_metadata(articles: DataFrame, sources: DataFrame, keys=fixed.TITLE_KEYS,
+                  stopwords=fixed.TITLE_STOPWORDS, token: str = fixed.TITLE_TOKEN) -> DataFrame:
+    """(article_id, metadata): the source row whose title fits the text best; ties keep the first source.
 
-    Ties keep the first source; articles without a row get an empty map. The text is not
-    shuffled beyond the scanned opening.
+    An article with one row takes it unseen. Only the openings of texts take part, and no column of the result is a text.
     """
-    opening = articles.select("article_id", F.substring("text", 1, SCANNED_CHARS).alias("text"))
-    scored = opening.join(sources, "article_id").select(
+    number = sources.groupBy("article_id").agg(F.count("*").alias("rows"))
+    numbered = sources.join(number, "article_id")
+    opening = articles.select("article_id", F.substring("text", 1, SCANNED_CHARS).alias("opening"))
+    scored = numbered.where("rows > 1").join(opening, "article_id").select(
         "article_id", "source_ord", "row",
-        token_overlap(from_row(F.col("row"), keys), F.col("text"), stopwords, token).alias("overlap"),
-    )
-    best = top_rows(scored, ["article_id"], [F.col("overlap").desc(), "source_ord"], 1).select(
-        "article_id", "row"
+        token_overlap(from_row(F.col("row"), keys), F.col("opening"), stopwords, token).alias("overlap"),
     )
+    best = top_rows(scored, ["article_id"], [F.col("overlap").desc(), "source_ord"], 1)
+    return numbered.where("rows = 1").select("article_id", F.col("row").alias("metadata")).unionByName(
+        best.select("article_id", F.col("row").alias("metadata")))
+
+
+def choose_metadata(articles: DataFrame, sources: DataFrame, keys=fixed.TITLE_KEYS,
+                    stopwords=fixed.TITLE_STOPWORDS, token: str = fixed.TITLE_TOKEN) -> DataFrame:
+    """Add ``metadata map<string,string>`` to articles; an empty map without a row.
+
+    This joins all columns of ``articles``, their text included. The review job takes the sources instead
+    and joins ``best_metadata`` after the text is gone.
+    """
+    best = best_metadata(articles, sources, keys, stopwords, token).withColumnRenamed("metadata", "row")
     empty = F.create_map().cast("map<string,string>")
     return articles.join(best, "article_id", "left").withColumn(
         "metadata", F.coalesce("row", empty)
     ).drop("row")
 
 
+def listed_title(row: Column) -> Column:
+    return first_filled(*[squash(F.element_at(row, F.lit(k))) for k in fixed.TITLE_KEYS])
+
+
+def listed_year(row: Column) -> list[Column]:
+    return [extract(squash(F.element_at(row, F.lit(k))), fixed.YEAR_PATTERN, 1, ignore_case=False) for k in fixed.YEAR_KEYS]
+
+
+def listed_doi(row: Column) -> list[Column]:
+    return [_doi_in(squash(F.element_at(row, F.lit(k)))) for k in fixed.DOI_KEYS]
+
+
+def _doi_in(text: Column) -> Column:
+    return F.when(text.contains("10."), extract(text, fixed.DOI_PATTERN, 0))  # every DOI holds "10.", a plain substring test
+
+
 def guess_title(text: Column, embedded: Column, row: Column) -> Column:
     """Metadata title, else the embedded one, else the first plausible text line."""
-    listed = first_filled(*[squash(F.element_at(row, F.lit(k))) for k in fixed.TITLE_KEYS])
+    listed = listed_title(row)
     starts = [F.lower(embedded).startswith(p) for p in fixed.EMBEDDED_TITLE_PUBLISHERS]
     usable = (F.coalesce(embedded, F.lit("")) != "") & ~(starts[0] | starts[1] | starts[2])
     lines = F.slice(F.split(F.coalesce(text, F.lit("")), LINE_BREAK, 91), 1, 90)
@@ -97,12 +125,8 @@ def guess_title_context(text: Column, embedded: Column, row: Column) -> Column:
 
 
 def guess_year(text: Column, row: Column) -> Column:
-    places = [squash(F.element_at(row, F.lit(k))) for k in fixed.YEAR_KEYS] + [F.substring(text, 1, 4000)]
-    return first_filled(*[extract(p, fixed.YEAR_PATTERN, 1, ignore_case=False) for p in places])
+    return first_filled(*listed_year(row), extract(F.substring(text, 1, YEAR_CHARS), fixed.YEAR_PATTERN, 1, ignore_case=False))
 
 
 def guess_doi(text: Column, row: Column) -> Column:
-    places = [squash(F.element_at(row, F.lit(k))) for k in fixed.DOI_KEYS] + [F.substring(text, 1, 10000)]
-    # every DOI holds "10.", a plain substring test
-    found = [F.when(p.contains("10."), extract(p, fixed.DOI_PATTERN, 0)) for p in places]
-    return F.rtrim(first_filled(*found), F.lit("."))
+    return F.rtrim(first_filled(*listed_doi(row), _doi_in(F.substring(text, 1, DOI_CHARS))), F.lit("."))

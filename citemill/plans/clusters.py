@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,10 +82,10 @@ def feature_stats(features: DataFrame, articles: DataFrame) -> DataFrame:
 def standardised(features: DataFrame, articles: DataFrame) -> DataFrame:
     """z-scores of the stored values; an absent value stands for ``-mean / deviation``.
 
-    The statistics have one row per feature, a list bounded by the dictionary and the
-    fixed vocabularies, and a common feature must not become a hot join key.
+    The statistics have one row per feature; adaptive execution broadcasts them when they are
+    small and splits a common feature otherwise.
     """
-    return features.join(F.broadcast(feature_stats(features, articles)), "feature").select(
+    return features.join(feature_stats(features, articles), "feature").select(
         "article_id", "feature", ((F.col("value") - F.col("mean")) / F.col("deviation")).alias("z")
     )
 
@@ -117,7 +116,7 @@ def natural_order() -> list[Column]:
     prefix = F.regexp_extract("article_id", r"^([A-Za-z]+)(\d+)$", 1)
     return [
         F.when(prefix != "", prefix).otherwise(F.col("article_id")),
-        F.coalesce(F.try_to_number(F.nullif(number, F.lit("")), F.lit("9" * 18)).cast("long"), F.lit(0)),
+        F.length(F.ltrim(number, F.lit("0"))), F.ltrim(number, F.lit("0")),  # numbers of any size
         "article_id",
     ]
 
@@ -127,31 +126,20 @@ def squared_distance(x: Column, center: list[float]) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
 
 
-def _nth_in_order(points: DataFrame, index: int) -> list[float]:
-    """Vector at one position of the article order, without a single-task sort."""
-    ordered = store(points.sort(*natural_order()).withColumn("part", F.spark_partition_id()), "ordered")
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
-    for row in sizes:
-        if index < row["n"]:
-            w = W.orderBy(*natural_order())
-            return (
-                ordered.where(F.col("part") == row["part"]).withColumn("i", F.row_number().over(w))
-                .where(F.col("i") == index + 1).head()["x"]
-            )
-        index -= row["n"]
-    raise IndexError("no such article")
-
-
 @dataclass
 class Clusters:
     assigned: DataFrame          # article_id, cluster, distance_to_centroid
     centers: list[list[float]]
     inertia: float
     features: list[str]
+    converged: bool = True       # False when the round limit ended the loop
 
 
 def kmeans(points: DataFrame, features: list[str], k: int, seed: int = fixed.SEED, rounds: int = 100) -> Clusters:
-    """Seeded first centre, farthest-first start, then Lloyd rounds.
+    """Seeded first centre, farthest-first start, then Lloyd rounds until nothing changes.
+
+    The first centre is the row whose id has the least hash with the seed, so no order of all rows is needed.
+    ``rounds`` is the reference limit; ``converged`` tells whether it was reached. Rows are then assigned to the last centres.
 
     Each round is one narrow assignment and one aggregate of k rows per task; the driver
     holds the k centres only. Points are a stored table, so lineage does not grow.
@@ -161,7 +149,7 @@ def kmeans(points: DataFrame, features: list[str], k: int, seed: int = fixed.SEE
     if n == 0:
         return Clusters(points.selectExpr("article_id", "0 cluster", "0D distance_to_centroid"), [], 0.0, features)
     k = max(1, min(k, n))
-    centers = [_nth_in_order(points, int(np.random.default_rng(seed).integers(0, n)))]
+    centers = [points.orderBy(F.xxhash64(F.lit(seed), "article_id"), "article_id").head()["x"]]
     while len(centers) < k:
         nearest = F.least(*[squared_distance(F.col("x"), c) for c in centers], F.lit(float("inf")))
         far = points.select("article_id", "x", nearest.alias("d")).orderBy(F.col("d").desc(), *natural_order())
@@ -174,7 +162,7 @@ def kmeans(points: DataFrame, features: list[str], k: int, seed: int = fixed.SEE
         )
 
     width = len(centers[0])
-    labels = None
+    labels, converged = None, False
     for _ in range(rounds):
         now = assign(centers)
         sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(width)]
@@ -182,6 +170,7 @@ def kmeans(points: DataFrame, features: list[str], k: int, seed: int = fixed.SEE
         rows = now.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.xxhash64("article_id", "cluster").cast("decimal(38,0)")).alias("h"), *sums).collect()
         signature = sorted((r["cluster"], r["n"], int(r["h"])) for r in rows)
         if signature == labels:
+            converged = True
             break
         labels = signature
         for r in rows:
@@ -189,7 +178,7 @@ def kmeans(points: DataFrame, features: list[str], k: int, seed: int = fixed.SEE
     final = assign(centers).select("article_id", "cluster", F.sqrt("best").alias("distance_to_centroid"), "best")
     final = store(final, "assigned")
     inertia = final.agg(F.sum("best")).head()[0]
-    return Clusters(final.drop("best"), centers, float(inertia), features)
+    return Clusters(final.drop("best"), centers, float(inertia), features, converged)
 
 
 def cluster_articles(clusters: DataFrame, articles: DataFrame, relations: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def term_values(mentions: DataFrame, articles: DataFrame) -> DataFrame:
     n, _ = corpus_size(articles)
     frequency = counts.groupBy("entity_type", "entity_id").agg(F.count("*").alias("df"))
     words = articles.where("text_extractable").select("article_id", "word_count")
-    # one row per dictionary entry at most; a frequent entity must not become a hot join key
+    # one row per dictionary entry at most: adaptive execution broadcasts it when small, and splits a frequent entity otherwise
     return (
-        counts.join(F.broadcast(frequency), ["entity_type", "entity_id"])
+        counts.join(frequency, ["entity_type", "entity_id"])
         .join(words, "article_id")
         .select(
             "article_id", "entity_type", "entity_id",

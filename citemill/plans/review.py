@@ -11,9 +11,9 @@ from citemill import fixed
 from citemill.config import Protocol
 from citemill.functions.labels import counts_to_json, first_filled, role_label, yes_no
 from citemill.functions.text import has_words, squash, word_count
-from citemill.operators.classify import article_kind, summarize
+from citemill.operators.classify import OPENING_CHARS, article_kind, summarize
 from citemill.operators.mentions import find_mentions
-from citemill.operators.metadata import guess_doi, guess_title, guess_year
+from citemill.operators.metadata import best_metadata, guess_doi, guess_title, guess_year, listed_doi, listed_title, listed_year
 from citemill.operators.relations import build_relations
 from citemill.session import store
 
@@ -51,19 +51,48 @@ class Review:
     relations: DataFrame
 
 
-def run_review(raw: DataFrame, protocol: Protocol) -> Review:
+CARRIED = (
+    "article_id", "source_path", "pages", "title", "year", "doi", "metadata_study_type", "word_count", "text_extractable", "article_kind",
+)
+
+
+def run_review(raw: DataFrame, protocol: Protocol, sources: DataFrame | None = None) -> Review:
     """Run the job once; each stage is a table in the shared folder.
 
-    The article table leaves the text behind: nothing after the mention scan reads it.
+    Articles and mentions come from one narrow pass over the texts, and nothing after it reads a text.
+    With ``sources`` (metadata rows, see ``best_metadata``) the ``metadata`` column of ``raw`` is not needed: the
+    chosen rows meet the article table, which has no text, and kinds reach the summaries from there.
     """
-    described = describe_articles(raw, protocol)
-    mentions = store(find_mentions(described, protocol), "mentions")
-    articles = store(described.drop("text", "metadata"), "articles")
-    summaries = store(summarize(mentions, protocol), "summaries")
+    if sources is None:
+        scan = store(find_mentions(describe_articles(raw, protocol), protocol, CARRIED), "scan")
+        articles = scan.where("article IS NOT NULL").select("article.*")
+    else:
+        bare = raw.withColumn("metadata", F.create_map().cast("map<string,string>"))
+        described = describe_articles(bare, protocol).withColumn("article_kind", F.lit(None).cast("string"))
+        described = described.withColumn("opening", F.substring("text", 1, OPENING_CHARS))
+        scan = store(find_mentions(described, protocol, (*CARRIED, "opening")), "scan")
+        found = scan.where("article IS NOT NULL").select("article.*")
+        articles = store(with_listed(found, best_metadata(raw, sources), protocol), "articles")
+    mentions = scan.where("start IS NOT NULL").drop("article")
+    summaries = store(summarize(mentions, protocol, None if sources is None else articles), "summaries")
     relations = store(build_relations(mentions, summaries, protocol), "relations")
     return Review(protocol, articles, mentions, summaries, relations)
 
 
+def with_listed(articles: DataFrame, metadata: DataFrame, protocol: Protocol) -> DataFrame:
+    """Article columns that a metadata row decides, over those found in the text; ``opening`` is used up."""
+    row, listed = F.col("metadata"), listed_title(F.col("metadata"))
+    return (
+        articles.join(metadata, "article_id", "left")
+        .withColumn("title", F.when(F.coalesce(listed, F.lit("")) != "", listed).otherwise(F.col("title")))
+        .withColumn("year", first_filled(*listed_year(row), F.col("year")))
+        .withColumn("doi", F.rtrim(first_filled(*listed_doi(row), F.col("doi")), F.lit(".")))
+        .withColumn("metadata_study_type", squash(F.element_at(row, F.lit(fixed.STUDY_TYPE_KEY))))
+        .withColumn("article_kind", article_kind(F.col("title"), F.col("metadata_study_type"), F.col("opening"), protocol.cues))
+        .select(*CARRIED)
+    )
+
+
 def article_rows(articles: DataFrame) -> DataFrame:
     return articles.select(
         "article_id", "source_path", "title", "year", "doi", "metadata_study_type", "article_kind",

@@ -51,13 +51,10 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough tasks for the scan that follows.
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal the rows to the number of tasks that ``spark.citemill.partitions`` names; as they are when it is not set.
 
-    One file of one row group is one task. Inputs beyond a full split per core already
-    have the tasks they need and are left alone, so large corpora are never shuffled.
+    For inputs of few files only: it shuffles whole rows, so jobs on large corpora leave it unset.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(2 * cores) if size < cores * (128 << 20) else df
+    n = df.sparkSession.conf.get("spark.citemill.partitions", None)
+    return df.repartition(int(n)) if n else df

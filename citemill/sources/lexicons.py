@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citemill.config import Term
 from citemill.functions.labels import first_filled
-from citemill.operators.lexicon import MAX_DEPTH, flatten_taxonomy
+from citemill.operators.lexicon import flatten_taxonomy
 
 _NODE = (
     "id string, kind string, labelEs string, labelEn string, label_es string, label_en string, "
@@ -29,7 +29,7 @@ def read_taxonomy_nodes(spark: SparkSession, path: str) -> DataFrame:
         F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("at"), F.posexplode("taxonomy").alias("i", "raw")
     )
     out = None
-    for _ in range(MAX_DEPTH):
+    while True:
         parsed = level.select(
             "parent_id", F.concat("at", F.format_string("/%06d", "i")).alias("node_id"), F.from_json("raw", _NODE).alias("n")
         ).where("n.kind is not null")

@@ -127,3 +127,28 @@ def test_fixed_values_are_consistent():
     assert set(fixed.ROLE_LABELS) == set(fixed.ROLE_WEIGHTS) and set(fixed.SECTION_HEADERS) == set(fixed.SECTION_WEIGHTS)
     assert fixed.SECTION_PROFILES["baseline_current"] == fixed.SECTION_WEIGHTS
     assert flatten_taxonomy and set(fixed.CUE_POINTS) == set(fixed.MENTION_CUES)
+
+
+def chain_of_categories(spark, depth):
+    rows = [(f"c{i:04d}", f"c{i - 1:04d}" if i else None, f"{i:04d}", "category", None, f"L{i}", "", False, []) for i in range(depth)]
+    rows += [("top", "c0000", "x", "term", None, "Top", "", False, ["top"]), ("deep", f"c{depth - 1:04d}", "y", "term", None, "Deep", "", False, ["deep"])]
+    return rows
+
+
+def test_taxonomy_of_any_depth_and_cycles(spark):
+    from citemill.operators.lexicon import NODE
+
+    rows = chain_of_categories(spark, 67)
+    got = {r["label_es"]: r["category"] for r in flatten_taxonomy(spark.createDataFrame(rows, NODE), "V", "a").collect()}
+    assert got == {"Top": "L0", "Deep": " > ".join(f"L{i}" for i in range(67))}
+    again = rows[:3] + [("c0001", "c0002", "z", "category", None, "Again", "", False, [])]
+    with pytest.raises(ValueError, match="ancestor"):
+        flatten_taxonomy(spark.createDataFrame(again, NODE), "V", "a")
+
+
+def test_labels_are_reached_in_the_dialect_of_the_scan(spark):
+    from citemill.operators.lexicon import unreachable_labels
+
+    rows = [("a", ["(?P<x>lead)"], "Lead", "pb"), ("b", [r"\bzin\w\b", "("], "ZINC", ""), ("c", ["["], "c", None), ("d", None, "d", "d")]
+    terms = spark.createDataFrame(rows, "entity_id string, patterns array<string>, label_es string, label_en string")
+    assert sorted((r["entity_id"], r["lang"]) for r in unreachable_labels(terms).collect()) == [("a", "en"), ("c", "es"), ("d", "en"), ("d", "es")]

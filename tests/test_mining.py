@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -9,7 +10,7 @@ from citemill.config import Protocol, Term
 from citemill.operators import scan
 from citemill.operators.classify import summarize
 from citemill.operators.mentions import BLOCK, find_mentions
-from citemill.operators.relations import best_pairs, build_relations
+from citemill.operators.relations import best_pairs, build_relations, relation_confidence
 from citemill.operators.sections import with_sections
 from tests import brute
 
@@ -27,12 +28,27 @@ def test_only_four_characters_fold_to_ascii_letters():
 
 
 @pytest.mark.parametrize("pattern, sure", [
-    (r"\bthing\b", "thing"), (r"\bpollutants?\b", "pollutant"), (r"\bwell\s+water\b", "water"), (r"\b(a|b)c\b", ""), (r"x|y", ""),
-    (r"ars[eé]nico", "nico"), (r"ab{0,2}c", "a"), (r"\d+ppm*", "pp"), (r"cafés", "caf")])
+    (r"\bthing\b", "thing"), (r"\bpollutants?\b", "pollutant"), (r"\bwell\s+water\b", "water"), (r"\b(a|b)c\b", "c"), (r"x|y", ""),
+    (r"ars[eé]nico", "nico"), (r"ab{0,2}c", "a"), (r"\d+ppm*", "pp"), (r"cafés", "caf"), (r"\x41rsenic", "arsenic"), (r"[a\]bcde]xy", "xy"),
+    (r"\u0042ar\103", "barc"), (r"(?P<x>lead)ing", "ing"), (r"(?i:Z)inc(?:ated)?", "inc")])
 def test_sure_text_is_in_every_match(pattern, sure):
     assert scan._sure_text(pattern) == sure
 
 
+def test_filter_never_hides_a_match_of_random_patterns():
+    rng = random.Random(3)
+    pieces = ["a", "B", "7", r"\x41", r"\u0062", r"\101", r"[a\]b]", r"[^\W\d]", r"\b", r"\s", r"\.", "(ab)", "(?:a|b7)", "(?P<n>b)", "a?", "b+", "7{1,2}", "b{0}", "x*?", "é", ".", "[ab]"]
+    for _ in range(3000):
+        pattern = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 6)))
+        if pattern.count("?P<n>") > 1:
+            continue
+        if rng.random() < 0.2:
+            pattern += "|" + rng.choice(pieces[:6])
+        sure, text = scan._sure_text(pattern), "".join(rng.choice("aAbB7x. é]") for _ in range(40))
+        if re.search(pattern, text, re.I):
+            assert sure in text.lower(), pattern
+
+
 def test_longest_match_wins_and_terms_are_independent(spark, make_articles, protocol):
     text = "Methyl mercury and mercury. methyl  mercury; METHYL MERCURY ſ toxicantſ zinc"
     found = rows(find_mentions(make_articles([("x", text)]), protocol))
@@ -95,26 +111,20 @@ def test_short_articles_are_not_mined(make_articles, protocol):
 # --- sections -----------------------------------------------------------------------------
 
 
-SECTION_CASES = [
-    ("Abstract\nZinc.\n\nResults\nHigh.\n", ["abstract", "results"]),
-    ("Report\n\nabstract\nbody", ["title", "abstract"]),
-    ("Discussion\n\nOur\nresults showed that it was bad\nresult.\n", ["discussion"]),
-    ("Methods\n\nWe did.\n\nDiscussion. This study reveals that the long line is still a header of its own.\n", ["methods", "discussion"]),
-    ("Results of the very long programme that ran for many years and never reached its own end\n", ["title"]),
-    ("Results\nReferences\nmore text\nDiscussion\nends\nReferences\n1. Methods Res 1993\nMethods\n", ["results", "discussion", "references"]),
-    ("3. Methods\nx", ["methods"]),
-    ("3. Methods used\nx", ["title"]),
-    ("\n\n  Methods\nx\n\n\n Conclusions\n", ["title", "methods", "conclusion"]),
-    ("", []),
-]
+def random_sections(rng):
+    names = ["Methods", "methods", "RESULTS", "Discussion", "References", "references", "Abstract", "Conclusions", "Introduction"]
+    lead, tail = ["", "", "  ", "3. ", "so "], ["", "", ".", ": plain text", " of all kinds", ". " + "a tail that goes on " * 4, " " + "and on " * 12]
+    lines = [rng.choice(lead) + rng.choice(names) + rng.choice(tail) if rng.random() < 0.5 else rng.choice(["", "Plain line.", "another line of prose"]) for _ in range(rng.randrange(0, 12))]
+    return "\n".join(lines)
 
 
-@pytest.mark.parametrize("text, names", SECTION_CASES)
-def test_section_rules(spark, text, names):
-    df = spark.createDataFrame([("x", text)], "article_id string, text string")
-    got = with_sections(df, fixed.SECTION_HEADERS).head()["spans"]
-    assert [s["name"] for s in got] == names
-    assert [tuple(s) for s in got] == brute.section_spans(text, fixed.SECTION_HEADERS)
+def test_sections_of_random_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = {str(i): random_sections(rng) for i in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "article_id string, text string")
+    got = {r["article_id"]: [tuple(x) for x in r["spans"]] for r in with_sections(df, fixed.SECTION_HEADERS).collect()}
+    want = {i: brute.section_spans(t, fixed.SECTION_HEADERS) for i, t in texts.items()}
+    assert got == want and len({n for spans in want.values() for n, _, _ in spans}) >= 7
 
 
 def test_two_names_on_one_line_resolve_by_name(spark):
@@ -127,47 +137,41 @@ def test_two_names_on_one_line_resolve_by_name(spark):
 # --- summaries -----------------------------------------------------------------------------
 
 
-def fake_mentions(spark, kind, items, generic=False):
-    """Hand-made mentions of one entity: (section, {cue: True}) pairs."""
+def fake_mentions(spark, articles):
+    """Hand-made mentions of one entity in each article: {article: (kind, [(section, set of cues)])}."""
     out = []
-    for i, (section, cues) in enumerate(items):
-        flags = {c: cues.get(c, False) for c in fixed.MENTION_CUES}
-        score = fixed.SECTION_WEIGHTS[section] + sum(p for c, p in fixed.CUE_POINTS.items() if flags[c]) - int(generic)
-        out.append(("x", kind, i, i, "a", "zinc", "cinc", "zinc", "Metals", generic, section, 1, f"context {i}", *flags.values(), score))
+    for article, (kind, items) in articles.items():
+        for i, (section, cues) in enumerate(items):
+            flags = [c in cues for c in fixed.MENTION_CUES]
+            score = fixed.SECTION_WEIGHTS[section] + sum(fixed.CUE_POINTS[c] for c in cues)
+            out.append((article, kind, i, i, "a", "zinc", "cinc", "zinc", "Metals", False, section, 1, f"context {i}", *flags, score))
     return spark.createDataFrame(out, (
         "article_id string, article_kind string, mention_idx int, nth int, entity_type string, entity_id string, label_es string, label_en string, "
         "category string, is_generic boolean, section string, page int, context string, cue_exposure boolean, cue_dose boolean, "
         "cue_association boolean, cue_speculative boolean, cue_negation boolean, score int"))
 
 
-STRONG = {"exposure": True, "dose": True}
-ROLE_CASES = [
-    ("review_or_synthesis", [("methods", STRONG)] * 3, "role_review_mention", "Alta", 45),
-    ("unclear", [("references", STRONG)] * 4, "role_bibliographic_only", "Baja", 0),
-    ("unclear", [("methods", STRONG)] * 2, "role_primary_focus", "Alta", 30),
-    ("unclear", [("results", {"association": True})], "role_probable_focus", "Baja", 7),
-    ("unclear", [("methods", {})] * 2 + [("references", STRONG)] * 3, "role_secondary_variable", "Media", 12),
-    ("unclear", [("introduction", {})], "role_intro_discussion_only", "Baja", 1),
-    ("unclear", [("introduction", {})] * 20, "role_intro_discussion_only", "Baja", 20),
-    ("unclear", [("other", {})], "role_unclear", "Baja", 1),
-    ("unclear", [("results", {"association": True}), ("results", {}), ("results", {}), ("introduction", {})], "role_probable_focus", "Alta", 18),
-    ("unclear", [("results", {"association": True}), ("results", {}), ("results", {})], "role_probable_focus", "Media", 17),
-    ("unclear", [("methods", {})] * 3, "role_secondary_variable", "Media", 18),
-    ("unclear", [("results", {}), ("discussion", {}), ("introduction", {})], "role_secondary_variable", "Media", 8),
-    ("unclear", [("results", {}), ("discussion", {})], "role_intro_discussion_only", "Baja", 7),
-]
-
-
-@pytest.mark.parametrize("kind, items, role, confidence, score", ROLE_CASES)
-def test_roles_confidence_and_scores(spark, protocol, kind, items, role, confidence, score):
-    got = summarize(fake_mentions(spark, kind, items), protocol).head()
-    assert (got["role"], got["confidence"], got["confidence_score"], got["n_mentions"]) == (role, confidence, score, len(items))
-    assert sum(got["sections"].values()) == len(items)
+def test_roles_confidence_and_scores_of_random_mentions(spark, protocol):
+    rng = random.Random(17)
+    articles = {}
+    for i in range(600):
+        sections = rng.sample(sorted(fixed.SECTION_WEIGHTS), rng.randint(1, 3))
+        items = [(rng.choice(sections), {c for c in fixed.MENTION_CUES if rng.random() < 0.15}) for _ in range(rng.randint(1, 6))]
+        articles[str(i)] = (rng.choice(["unclear", "unclear", "human_epidemiological", "review_or_synthesis"]), items)
+    got = {r["article_id"]: r for r in summarize(fake_mentions(spark, articles), protocol).collect()}
+    seen = set()
+    for i, (kind, items) in articles.items():
+        want = brute.summary(kind, items)
+        seen.add(want[:2])
+        assert (got[i]["role"], got[i]["confidence"], got[i]["confidence_score"]) == want, items
+        assert got[i]["n_mentions"] == len(items) == sum(got[i]["sections"].values())
+    assert len({r for r, _ in seen}) == 7 and {c for _, c in seen} == {"Alta", "Media", "Baja"}
+    assert {s for s in range(7, 20)} <= {brute.summary(*a)[2] for a in articles.values()}  # each side of every threshold
 
 
 def test_evidence_quotes_central_then_dose_then_score(spark, protocol):
-    items = [("references", STRONG), ("introduction", {}), ("results", {"dose": True}), ("methods", {"exposure": True}), ("methods", {})]
-    got = summarize(fake_mentions(spark, "unclear", items), protocol).head()
+    items = [("references", {"exposure", "dose"}), ("introduction", set()), ("results", {"dose"}), ("methods", {"exposure"}), ("methods", set())]
+    got = summarize(fake_mentions(spark, {"x": ("unclear", items)}), protocol).head()
     assert got["evidence_text"] == "p.1 [results] context 2 || p.1 [methods] context 3 || p.1 [methods] context 4"
 
 
@@ -186,15 +190,10 @@ def test_article_kinds(make_articles):
 # --- relations -------------------------------------------------------------------------------------
 
 
-LADDER = [
-    ("Report of zinc.\n\nZinc was significantly linked to epilepsy.", "asociacion_fuerte", "Alta"),
-    ("Zinc was linked to epilepsy.", "asociacion_debil", "Media"),
-    ("Report\n\nDiscussion\nZinc was significantly linked to epilepsy.", "asociacion_debil", "Media"),
-    ("Zinc may affect epilepsy.", "mencion_especulativa", "Baja"),
-    ("Zinc may be significantly linked to epilepsy.", "asociacion_debil", "Media"),
-    ("Zinc and epilepsy were studied.", "sin_evidencia_suficiente", "Baja"),
-    ("Zinc was not linked to epilepsy but significantly higher.", "sin_evidencia_suficiente", "Baja"),
-]
+WORDING = {"speculative": "may", "strong_association": "significantly", "association": "be linked to", "negation": "though not linked with"}
+SENTENCES = [
+    (head, {f for f, on in zip(WORDING, bits, strict=True) if on}, f"{head}Zinc {' '.join(w for w, on in zip(WORDING.values(), bits, strict=True) if on)} epilepsy here.")
+    for head in ("", "Heading\n\nDiscussion\n", "Heading\n\nResults\n") for bits in itertools.product((False, True), repeat=4)]
 
 
 def relate(make_articles, protocol, texts):
@@ -203,9 +202,19 @@ def relate(make_articles, protocol, texts):
     return rows(build_relations(m, summarize(m, protocol), protocol))
 
 
-def test_association_ladder(make_articles, protocol):
-    got = {r["article_id"]: (r["association"], r["confidence"]) for r in relate(make_articles, protocol, [(str(i), c[0]) for i, c in enumerate(LADDER)])}
-    assert got == {str(i): c[1:] for i, c in enumerate(LADDER)}
+def test_association_of_every_wording(make_articles, protocol):
+    found = {r["article_id"]: r for r in relate(make_articles, protocol, [(str(i), t) for i, (_, _, t) in enumerate(SENTENCES)])}
+    for i, (head, flags, text) in enumerate(SENTENCES):
+        assert found[str(i)]["association"] == brute.association(flags, "Discussion" not in head), text
+    assert {r["association"] for r in found.values()} >= {"asociacion_fuerte", "asociacion_debil", "mencion_especulativa"}
+
+
+def test_relation_confidence_on_each_side_of_its_thresholds(spark):
+    cases = [(s, place, label) for s in range(3, 16) for place in ("methods", "discussion") for label in ("asociacion_fuerte", "asociacion_debil", "mencion_especulativa")]
+    df = spark.createDataFrame(cases, "score int, section string, label string")
+    for r in df.withColumn("got", relation_confidence(F.col("score"), F.col("section"), F.col("label"))).collect():
+        grade = ("mencion" not in r["label"] and r["score"] >= 6) + ("fuerte" in r["label"] and r["section"] == "methods" and r["score"] >= 12)
+        assert r["got"] == ("Baja", "Media", "Alta")[grade]
 
 
 @pytest.mark.parametrize("distance", [0, 100, 400, 900, 1500])
@@ -225,7 +234,7 @@ def test_far_apart_boilerplate_sentences_still_pair(make_articles, protocol):
 
 def test_swapping_slots_changes_nothing_but_the_sides(make_articles, protocol):
     flipped = Protocol(terms=tuple(Term("b" if t.slot == "a" else "a", *list(t.__dict__.values())[1:]) for t in protocol.terms), cues=protocol.cues)
-    texts = [(str(i), c[0] + " A stroke was seen. Mercury rose.") for i, c in enumerate(LADDER)]
+    texts = [(str(i), t + " A stroke was seen. Mercury rose.") for i, (_, _, t) in enumerate(SENTENCES)]
     def keyed(found, a, b):
         return {(r["article_id"], r[a], r[b]): (r["association"], r["confidence"], r["confidence_score"], r["section"]) for r in found}
 

@@ -15,7 +15,7 @@ from citemill.plans import publication as pb
 from citemill.plans import review as rv
 from citemill.plans import survey as sv
 from citemill.plans import validation as va
-from citemill.session import checkpoint_dir, spread, store
+from citemill.session import checkpoint_dir, store
 from tests import brute
 
 
@@ -56,34 +56,29 @@ def test_other_seeds_draw_other_rows(spark):
 # --- clustering -------------------------------------------------------------------------
 
 
-def reference_kmeans(x, k, seed=13):
-    centers = [x[np.random.default_rng(seed).integers(0, len(x))]]
-    for _ in range(k - 1):
-        centers.append(x[np.argmax(np.min([((x - c) ** 2).sum(1) for c in centers], axis=0))])
-    centers, labels = np.array(centers, float), None
-    for _ in range(100):
-        d = ((x[:, None] - centers[None]) ** 2).sum(2)
-        now = d.argmin(1)
-        if labels is not None and (labels == now).all():
-            break
-        labels = now
-        for c in range(k):
-            if (labels == c).any():
-                centers[c] = x[labels == c].mean(0)
-    return labels, ((x - centers[labels]) ** 2).sum()
+def distances(x, centers):
+    return np.stack([np.square(x - np.asarray(c)).sum(axis=1) for c in centers], axis=1)
 
 
 @pytest.mark.parametrize("k", [1, 3, 5])
-def test_kmeans_equals_numpy(spark, k):
+def test_kmeans_ends_at_a_fixed_point(spark, k):
+    """Start: far rows. End: rows at their nearest centre, centres at the mean of their rows."""
     rng = np.random.default_rng(k)
     x = rng.normal(size=(60, 4)) + rng.integers(0, 4, size=(60, 1)) * 5
-    ids = [f"A{i}" for i in range(60)]
-    points = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "article_id string, x array<double>").repartition(5)
-    got = cl.kmeans(points, ["f1", "f2", "f3", "f4"], k)
-    labels, inertia = reference_kmeans(x, k)
-    found = {r["article_id"]: r["cluster"] for r in got.assigned.collect()}
-    assert [found[i] for i in ids] == labels.tolist()
-    assert got.inertia == pytest.approx(inertia)
+    points = spark.createDataFrame([(f"A{i}", [float(v) for v in row]) for i, row in enumerate(x)], "article_id string, x array<double>").repartition(5)
+    start = cl.kmeans(points, ["f1", "f2", "f3", "f4"], k, rounds=0)
+    assert not start.converged and np.isclose(distances(x, start.centers).min(axis=0), 0).all()
+    for i in range(1, k):
+        gap = distances(x, start.centers[:i]).min(axis=1)
+        assert np.isclose(np.square(np.array(start.centers[:i]) - start.centers[i]).sum(axis=1).min(), gap.max())
+    got = cl.kmeans(points.repartition(3), ["f1", "f2", "f3", "f4"], k)
+    found = {r["article_id"]: (r["cluster"], r["distance_to_centroid"]) for r in got.assigned.collect()}
+    labels = np.array([found[f"A{i}"][0] for i in range(60)])
+    d = distances(x, got.centers)
+    assert got.converged and (d.argmin(axis=1) == labels).all()
+    assert all(np.allclose(x[labels == c].mean(axis=0), got.centers[c]) for c in set(labels.tolist()))
+    assert got.inertia == pytest.approx(d.min(axis=1).sum()) == pytest.approx(sum(v * v for _, v in found.values()))
+    assert np.allclose(cl.kmeans(points, ["f1", "f2", "f3", "f4"], k).centers, got.centers)
     table = cl.centroid_table(got).collect()
     assert len(table) == k and table[0]["zscore_1"] >= table[0]["zscore_4"]
 
@@ -254,9 +249,65 @@ def test_store_uses_the_shared_folder_and_cuts_the_plan(spark):
     assert kept.count() == 10 and kept.agg(F.sum("x")).head()[0] == 90
 
 
-def test_spread_only_touches_small_inputs(spark, tmp_path):
-    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "small"))
-    plan = spread(spark.read.parquet(str(tmp_path / "small")))._jdf.queryExecution().optimizedPlan().toString()
-    assert "Repartition" in plan
-    big = spark.range(1 << 34)
-    assert "Repartition" not in spread(big)._jdf.queryExecution().optimizedPlan().toString()
+# --- review with metadata sources -----------------------------------------------------------------
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "Broadcast" not in x]
+
+
+def test_review_with_sources_equals_review_of_joined_articles(spark, protocol):
+    from citemill.operators.metadata import choose_metadata
+
+    raw = spark.createDataFrame(TEXTS, "article_id string, text string").select(
+        "article_id", F.lit("f").alias("source_path"), "text", F.lit(1).alias("pages"), F.lit("").alias("embedded_title"))
+    rows = [(0, "A1", {"Paper name": "Other title of things", "Year": "in 1999"}), (1, "A1", {"title": "Cohort of users", "DOI": "doi:10.1234/x.", "Study type": "mice"}),
+            (0, "A2", {"Paper name": "A systematic review"}), (0, "none", {"title": "x"})]
+    sources = spark.createDataFrame(rows, "source_ord int, article_id string, row map<string,string>")
+    apart, joined = rv.run_review(raw, protocol, sources), rv.run_review(choose_metadata(raw, sources), protocol)
+    for name in ("articles", "summaries", "relations"):
+        a, b = getattr(apart, name), getattr(joined, name)
+        assert sorted(map(str, a.select(*sorted(b.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+    assert apart.mentions.drop("article_kind").exceptAll(joined.mentions.drop("article_kind").select(*apart.mentions.drop("article_kind").columns)).count() == 0
+
+
+def test_the_scan_shuffles_nothing_and_reads_texts_once(spark, protocol, tmp_path):
+    from citemill.operators.mentions import find_mentions
+
+    path = str(tmp_path / "raw")
+    spark.createDataFrame(TEXTS, "article_id string, text string").select(
+        "article_id", F.lit("f").alias("source_path"), "text", F.lit(1).alias("pages"), F.lit("").alias("embedded_title"),
+        F.create_map().cast("map<string,string>").alias("metadata")).write.parquet(path)
+    scan = find_mentions(rv.describe_articles(spark.read.parquet(path), protocol), protocol, rv.CARRIED)
+    assert exchanges(scan) == []
+    assert scan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_summaries_shuffle_no_contexts_beyond_the_kept_ones(spark, protocol, small):
+    from citemill.operators.classify import summarize
+
+    plan = summarize(small.mentions, protocol)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    counted = [x for x in plan.split("\n") if "Aggregate" in x and "count" in x]
+    assert counted and not any("context#" in x for x in counted)
+
+
+def test_publication_and_analytics_jobs_write_every_table(spark, protocol, small, tmp_path):
+    from citemill.plans import jobs
+
+    out = str(tmp_path / "out")
+    paths = jobs.publish(small, out)
+    assert len(paths) == 18 and all(spark.read.csv(p, header=True, multiLine=True, escape='"').columns for p in paths.values())
+    found = jobs.analyse_run(spark, out, str(tmp_path / "analytics"), protocol, "parquet")
+    assert len(found) == 9
+    row = spark.read.parquet(found["analytics_summary"]).head()
+    assert row["k_requested"] == protocol.kmeans_k and 1 <= row["k_effective"] <= 5 and row["features_used"] <= row["features_available"] and row["converged"]
+    assert spark.read.parquet(found["kmeans_articles"]).count() == 5
+
+
+def test_jobs_of_an_empty_corpus(spark, protocol, tmp_path):
+    from citemill.plans import jobs
+
+    raw = spark.createDataFrame([], "article_id string, source_path string, text string, pages int, embedded_title string, metadata map<string,string>")
+    paths = jobs.publish(rv.run_review(raw, protocol), str(tmp_path / "none"))
+    assert {spark.read.csv(paths[n], header=True).count() for n in ("articles", "mentions", "relations", "kwic")} == {0}

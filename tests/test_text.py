@@ -105,3 +105,17 @@ def test_clip_and_json_cells(spark):
 
 def test_java_pattern_leaves_plain_patterns_alone():
     assert java_pattern("abc+", fast_edges=True) == "(?iuUd)abc+"
+
+
+def test_split_sentences_is_linear(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([("One thing here. " * n,)], "t string").cache()
+        df.count()
+        begin = time.perf_counter()
+        assert df.select(F.size(tx.split_sentences(F.col("t")))).head()[0] == n
+        return time.perf_counter() - begin
+
+    took(100)
+    assert took(16000) < 3 * took(8000) + 2
