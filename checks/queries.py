@@ -141,7 +141,7 @@ def natural_file_order(spark, sf):
         F.concat(F.lit("/corpus/"), F.when(F.col("doc_id") % 3 == 0, "x_").otherwise("A"), F.col("doc_id"), F.lit(".TXT")).alias("p")
     )
     fields = file_fields(F.col("p"))
-    return paths.select("p", *[fields[c].cast("string").alias(c) for c in ("article_id", *natural_order())])
+    return paths.select("p", *[fields[c].cast("string").alias(c) for c in ("article_id", *natural_order()) if c != "order_digits"])
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from citemill.functions.labels import clean_cell
+from citemill.sources.files import has_content
 
 
 def _cell(name: str, kind) -> Column:
@@ -24,12 +25,12 @@ def export_cells(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, folder: str, name: str) -> str:
-    """A CSV folder with header; an empty table still gets its header line."""
-    cells = export_cells(df)
-    if cells.isEmpty():
-        cells = df.sparkSession.createDataFrame([], cells.schema).coalesce(1)
-    path = f"{folder}/{name}.csv"
-    cells.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", lineSep="\n")
+    """A CSV folder with header; an empty table still gets its header line. The plan runs once."""
+    cells, spark, path = export_cells(df), df.sparkSession, f"{folder}/{name}.csv"
+    options = {"header": True, "escape": '"', "emptyValue": "", "lineSep": "\n"}
+    cells.write.mode("overwrite").csv(path, **options)
+    if not has_content(spark, path):  # no task had a row
+        spark.createDataFrame([], cells.schema).coalesce(1).write.mode("overwrite").csv(path, **options)
     return path
 
 

@@ -22,13 +22,14 @@ def file_fields(path: Column) -> dict[str, Column]:
     return {
         "article_id": stem, "suffix": suffix,
         "order_text": F.when(prefix != "", prefix).otherwise(stem),
-        "order_number": F.coalesce(F.nullif(number, F.lit("")).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")),
+        # numbers of any size: more digits are more, then the digits decide
+        "order_digits": F.length(F.ltrim(number, F.lit("0"))), "order_number": F.coalesce(F.nullif(F.ltrim(number, F.lit("0")), F.lit("")), F.lit("0")),
         "order_suffix": F.when(prefix != "", "").otherwise(suffix),
     }
 
 
 def natural_order() -> list[str]:
-    return ["order_text", "order_number", "order_suffix"]
+    return ["order_text", "order_digits", "order_number", "order_suffix"]
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,3 +8,10 @@ from pyspark.sql import SparkSession
 def exists(spark: SparkSession, path: str) -> bool:
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
+
+
+def has_content(spark: SparkSession, folder: str) -> bool:
+    """Whether a file of a folder has a byte."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(location)
+    return any(f.getLen() > 0 and f.getPath().getName().startswith("part-") for f in listed)

@@ -31,6 +31,16 @@ def test_exact_median_with_one_hot_group(spark):
         assert got[k] == pytest.approx(float(np.median([v for n, v in rows if n == k])), abs=1e-12)
 
 
+def test_median_of_one_hot_range_ranks_a_small_part(spark):
+    """Distinct values inside one coarse bin; the last window sees about a thousandth of them."""
+    rng = random.Random(6)
+    values = [1.0 + rng.random() * 0.05 for _ in range(20001)]
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    assert exact_median(df, ["k"], "v").head()["median"] == float(np.median(values))
+    same = spark.createDataFrame([("k", 2.5)] * 10 + [("j", -1.0), ("j", -1.0 - 1e-15)], "k string, v double")
+    assert {r["k"]: r["median"] for r in exact_median(same, ["k"], "v").collect()} == {"k": 2.5, "j": float(np.median([-1.0, -1.0 - 1e-15]))}
+
+
 def test_first_ids_are_distinct_and_sorted(spark):
     df = spark.createDataFrame([("k", str(i % 50)) for i in range(500)], "k string, id string")
     assert first_ids(df, ["k"], "id", 3, "ids").head()["ids"] == "0; 1; 10"
