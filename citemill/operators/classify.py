@@ -14,15 +14,16 @@ from citemill.functions.regex import contains_any, is_unusual, matches_any
 from citemill.operators.groups import top_rows
 
 KEY = ["article_id", "entity_type", "entity_id"]
+# Limits of the reference rules, each the default of a parameter; None lifts it.
 EVIDENCE_ROWS = 3
 CONTEXT_ROWS = 8
 OPENING_CHARS = 1800
 
 
-def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str, list[str]]) -> Column:
+def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str, list[str]], chars: int | None = OPENING_CHARS) -> Column:
     """First matching study design, from metadata and the opening of the text."""
     metadata = F.concat_ws(" ", title, study_type)
-    opening = F.concat_ws(" ", metadata, F.substring(text, 1, OPENING_CHARS))
+    opening = F.concat_ws(" ", metadata, text if chars is None else F.substring(text, 1, chars))
     lowered = F.lower(metadata)
 
     # the opening contains the metadata, so one test of its characters serves both
@@ -95,13 +96,15 @@ def evidence_rank() -> list[Column]:
     ]
 
 
-def summarize(mentions: DataFrame, protocol: Protocol, kinds: DataFrame | None = None) -> DataFrame:
+def summarize(mentions: DataFrame, protocol: Protocol, kinds: DataFrame | None = None, quotes: int | None = EVIDENCE_ROWS,
+              contexts: int | None = CONTEXT_ROWS) -> DataFrame:
     """One row per (article, slot, entity).
 
     Counts and scores are partial aggregates without any text. The best quotations are ranked with a
     limit that Spark applies in each task before the shuffle, and only the first contexts are
     shuffled at all, so an entity with most of the mentions costs a few rows a task.
-    ``kinds`` (article_id, article_kind) replaces the kinds of the mention table.
+    ``kinds`` (article_id, article_kind) replaces the kinds of the mention table. ``quotes`` and ``contexts`` say how
+    many of a group are kept; None keeps all, and then gathers them in one row.
     """
     scored = F.col("section") != fixed.TERMINAL_SECTION
     counts = [F.count_if(F.col("section") == s).alias(f"n_{s}") for s in protocol.sections]
@@ -122,10 +125,11 @@ def summarize(mentions: DataFrame, protocol: Protocol, kinds: DataFrame | None =
     )
     best = top_rows(
         mentions.select(*KEY, "section", "cue_dose", "cue_exposure", "score", "mention_idx", quote.alias("quote")),
-        KEY, evidence_rank(), EVIDENCE_ROWS, "evidence_no")
-    quotes = best.groupBy(*KEY).agg(F.collect_list(F.struct("evidence_no", "quote")).alias("quotes"))
-    contexts_of = mentions.where(F.col("nth") < CONTEXT_ROWS).groupBy(*KEY).agg(F.collect_list(F.struct("nth", "context")).alias("contexts"))
-    rows = totals.join(quotes, KEY).join(contexts_of, KEY)
+        KEY, evidence_rank(), (1 << 31) - 1 if quotes is None else quotes, "evidence_no")
+    quoted = best.groupBy(*KEY).agg(F.collect_list(F.struct("evidence_no", "quote")).alias("quotes"))
+    first = mentions if contexts is None else mentions.where(F.col("nth") < contexts)
+    read = first.groupBy(*KEY).agg(F.collect_list(F.struct("nth", "context")).alias("contexts"))
+    rows = totals.join(quoted, KEY).join(read, KEY)
     if kinds is not None:
         rows = rows.drop("article_kind").join(kinds.select("article_id", "article_kind"), "article_id")
 
@@ -145,14 +149,14 @@ def summarize(mentions: DataFrame, protocol: Protocol, kinds: DataFrame | None =
             ]
         )
     )
-    contexts = F.array_join(F.transform(F.array_sort("contexts"), lambda c: c["context"]), " ")
+    context_text = F.array_join(F.transform(F.array_sort("contexts"), lambda c: c["context"]), " ")
     return rows.select(
         *KEY, "label_es", "label_en", "category", "n_mentions",
         F.map_from_entries(
             F.transform(F.filter(seen, lambda s: s["n"] > 0), lambda s: F.struct(s["name"], s["n"]))
         ).alias("sections"),
         role.alias("role"),
-        study_context(F.col("article_kind"), contexts, protocol.cues).alias("study_context"),
+        study_context(F.col("article_kind"), context_text, protocol.cues).alias("study_context"),
         confidence_tier(F.col("confidence_score"), central, F.col("direct") + F.col("associated")).alias("confidence"),
         "confidence_score",
         F.array_join(F.transform(F.array_sort("quotes"), lambda q: q["quote"]), " || ").alias("evidence_text"),

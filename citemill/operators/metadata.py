@@ -11,8 +11,20 @@ from citemill.functions.regex import contains_any, extract
 from citemill.functions.text import LINE_BREAK, squash
 from citemill.operators.groups import top_rows
 
-# how far into a text the reference rules look for a title's words, a year and a DOI
+# Reach of the reference rules into a text: characters for a title's words, a year and a DOI, lines for a title.
+# Each is the default of a parameter; None looks at the whole text.
 SCANNED_CHARS, YEAR_CHARS, DOI_CHARS = 12000, 4000, 10000
+TITLE_LINES, CONTEXT_TITLE_LINES = 90, 80
+
+
+def opening_of(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def _first_lines(text: Column, lines: int | None) -> Column:
+    if lines is None:
+        return F.split(F.coalesce(text, F.lit("")), LINE_BREAK, -1)
+    return F.slice(F.split(F.coalesce(text, F.lit("")), LINE_BREAK, lines + 1), 1, lines)
 
 
 def title_tokens(title: Column, stopwords=fixed.TITLE_STOPWORDS, token: str = fixed.TITLE_TOKEN) -> Column:
@@ -23,9 +35,9 @@ def title_tokens(title: Column, stopwords=fixed.TITLE_STOPWORDS, token: str = fi
 
 
 def token_overlap(title: Column, text: Column, stopwords=fixed.TITLE_STOPWORDS,
-                  token: str = fixed.TITLE_TOKEN) -> Column:
+                  token: str = fixed.TITLE_TOKEN, chars: int | None = SCANNED_CHARS) -> Column:
     """How many title tokens occur in the opening of the text."""
-    opening = F.lower(F.substring(text, 1, SCANNED_CHARS))
+    opening = F.lower(opening_of(text, chars))
     return F.size(F.filter(title_tokens(title, stopwords, token), lambda t: opening.contains(t)))
 
 
@@ -34,17 +46,17 @@ def from_row(row: Column, keys: tuple[str, ...]) -> Column:
 
 
 def best_metadata(articles: DataFrame, sources: DataFrame, keys=fixed.TITLE_KEYS,
-                  stopwords=fixed.TITLE_STOPWORDS, token: str = fixed.TITLE_TOKEN) -> DataFrame:
+                  stopwords=fixed.TITLE_STOPWORDS, token: str = fixed.TITLE_TOKEN, chars: int | None = SCANNED_CHARS) -> DataFrame:
     """(article_id, metadata): the source row whose title fits the text best; ties keep the first source.
 
     An article with one row takes it unseen. Only the openings of texts take part, and no column of the result is a text.
     """
     number = sources.groupBy("article_id").agg(F.count("*").alias("rows"))
     numbered = sources.join(number, "article_id")
-    opening = articles.select("article_id", F.substring("text", 1, SCANNED_CHARS).alias("opening"))
+    opening = articles.select("article_id", opening_of(F.col("text"), chars).alias("opening"))
     scored = numbered.where("rows > 1").join(opening, "article_id").select(
         "article_id", "source_ord", "row",
-        token_overlap(from_row(F.col("row"), keys), F.col("opening"), stopwords, token).alias("overlap"),
+        token_overlap(from_row(F.col("row"), keys), F.col("opening"), stopwords, token, chars).alias("overlap"),
     )
     best = top_rows(scored, ["article_id"], [F.col("overlap").desc(), "source_ord"], 1)
     return numbered.where("rows = 1").select("article_id", F.col("row").alias("metadata")).unionByName(
@@ -81,15 +93,14 @@ def _doi_in(text: Column) -> Column:
     return F.when(text.contains("10."), extract(text, fixed.DOI_PATTERN, 0))  # every DOI holds "10.", a plain substring test
 
 
-def guess_title(text: Column, embedded: Column, row: Column) -> Column:
+def guess_title(text: Column, embedded: Column, row: Column, lines: int | None = TITLE_LINES) -> Column:
     """Metadata title, else the embedded one, else the first plausible text line."""
     listed = listed_title(row)
     starts = [F.lower(embedded).startswith(p) for p in fixed.EMBEDDED_TITLE_PUBLISHERS]
     usable = (F.coalesce(embedded, F.lit("")) != "") & ~(starts[0] | starts[1] | starts[2])
-    lines = F.slice(F.split(F.coalesce(text, F.lit("")), LINE_BREAK, 91), 1, 90)
     first = F.get(
         F.filter(
-            F.transform(lines, squash),
+            F.transform(_first_lines(text, lines), squash),
             lambda c: (F.length(c) >= 12) & (F.length(c) <= 260)
             & ~contains_any(F.lower(c), fixed.TITLE_BOILERPLATE),
         ),
@@ -102,16 +113,15 @@ def guess_title(text: Column, embedded: Column, row: Column) -> Column:
     )
 
 
-def guess_title_context(text: Column, embedded: Column, row: Column) -> Column:
+def guess_title_context(text: Column, embedded: Column, row: Column, lines: int | None = CONTEXT_TITLE_LINES) -> Column:
     """Single-variable variant: other keys, limits and stop fragments."""
     listed = first_filled(*[squash(F.element_at(row, F.lit(k))) for k in ("Paper name", "col3", "")])
     starts = [F.lower(embedded).startswith(p) for p in fixed.CONTEXT_TITLE_PUBLISHERS]
     blocked = starts[0] | starts[1] | starts[2] | starts[3] | starts[4]
     usable = (F.length(F.coalesce(embedded, F.lit(""))) >= 10) & ~blocked
-    lines = F.slice(F.split(F.coalesce(text, F.lit("")), LINE_BREAK, 81), 1, 80)
     first = F.get(
         F.filter(
-            F.transform(lines, squash),
+            F.transform(_first_lines(text, lines), squash),
             lambda c: (F.length(c) >= 12) & (F.length(c) <= 220)
             & ~contains_any(F.lower(c), fixed.CONTEXT_TITLE_BOILERPLATE),
         ),
@@ -124,9 +134,9 @@ def guess_title_context(text: Column, embedded: Column, row: Column) -> Column:
     )
 
 
-def guess_year(text: Column, row: Column) -> Column:
-    return first_filled(*listed_year(row), extract(F.substring(text, 1, YEAR_CHARS), fixed.YEAR_PATTERN, 1, ignore_case=False))
+def guess_year(text: Column, row: Column, chars: int | None = YEAR_CHARS) -> Column:
+    return first_filled(*listed_year(row), extract(opening_of(text, chars), fixed.YEAR_PATTERN, 1, ignore_case=False))
 
 
-def guess_doi(text: Column, row: Column) -> Column:
-    return F.rtrim(first_filled(*listed_doi(row), _doi_in(F.substring(text, 1, DOI_CHARS))), F.lit("."))
+def guess_doi(text: Column, row: Column, chars: int | None = DOI_CHARS) -> Column:
+    return F.rtrim(first_filled(*listed_doi(row), _doi_in(opening_of(text, chars))), F.lit("."))
