@@ -399,7 +399,7 @@ def standardised_features(spark, sf):
 def kmeans_articles(spark, sf):
     r = I.review(spark, sf)
     found, _ = I.clusters(spark, sf)
-    return cl.cluster_articles(found.assigned, r.articles, r.relations)
+    return rounded(cl.cluster_articles(found.assigned, r.articles, r.relations), "distance_to_centroid", digits=5)
 
 
 @query
@@ -410,7 +410,8 @@ def cluster_profiles(spark, sf):
 
 @query
 def kmeans_centroids(spark, sf):
-    return cl.centroid_table(I.clusters(spark, sf)[0])
+    table = cl.centroid_table(I.clusters(spark, sf)[0])
+    return rounded(table, *[c for c in table.columns if c.startswith("zscore_")], digits=5)
 
 
 @query
@@ -581,6 +582,7 @@ def survey_profiles(spark, sf):
 
 # --- sources and sinks: written, read back ----------------------------------------------------
 
+import checks.kmeans_sql  # noqa: E402, F401  adds its SQL to the registry
 from checks.trips import TRIPS  # noqa: E402
 
 QUERIES.update(TRIPS)

@@ -126,6 +126,10 @@ def squared_distance(x: Column, center: list[float]) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
 
 
+#: Means that agree to this many digits are a tie, which names decide.
+TIE_DIGITS = 9
+
+
 @dataclass
 class Clusters:
     assigned: DataFrame          # article_id, cluster, distance_to_centroid
@@ -149,7 +153,7 @@ def kmeans(points: DataFrame, features: list[str], k: int, seed: int = fixed.SEE
     if n == 0:
         return Clusters(points.selectExpr("article_id", "0 cluster", "0D distance_to_centroid"), [], 0.0, features)
     k = max(1, min(k, n))
-    centers = [points.orderBy(F.xxhash64(F.lit(seed), "article_id"), "article_id").head()["x"]]
+    centers = [points.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "article_id")), "article_id").head()["x"]]
     while len(centers) < k:
         nearest = F.least(*[squared_distance(F.col("x"), c) for c in centers], F.lit(float("inf")))
         far = points.select("article_id", "x", nearest.alias("d")).orderBy(F.col("d").desc(), *natural_order())
@@ -198,7 +202,7 @@ def cluster_profiles(features: DataFrame, clusters: DataFrame, top: int = 8) ->
     sums = features.join(clusters.select("article_id", "cluster"), "article_id").groupBy("cluster", "feature").agg(
         F.sum("value").alias("total")
     )
-    means = sums.join(sizes, "cluster").withColumn("mean", F.col("total") / F.col("n_articles")).where("mean > 0")
+    means = sums.join(sizes, "cluster").withColumn("mean", F.round(F.col("total") / F.col("n_articles"), TIE_DIGITS)).where("mean > 0")
     best = top_rows(means, ["cluster"], [F.col("mean").desc(), "feature"], top)
     text = F.concat("feature", F.lit("="), F.format_string("%.2f", "mean"))
     listed = best.groupBy("cluster").agg(
@@ -213,7 +217,7 @@ def centroid_table(clusters: Clusters, top: int = 20) -> DataFrame:
     """Strongest features per non-empty cluster in z units: feature_i / zscore_i columns."""
     spark = clusters.assigned.sparkSession
     # k x features numbers the driver already holds
-    cells = [(c, f, float(v)) for c, row in enumerate(clusters.centers) for f, v in zip(clusters.features, row)]
+    cells = [(c, f, round(float(v), TIE_DIGITS)) for c, row in enumerate(clusters.centers) for f, v in zip(clusters.features, row)]
     table = spark.createDataFrame(cells, "cluster int, feature string, z double")
     sizes = clusters.assigned.groupBy("cluster").agg(F.count("*").alias("n_articles"))
     best = top_rows(table, ["cluster"], [F.col("z").desc(), "feature"], top).join(sizes, "cluster")
