@@ -25,7 +25,7 @@ from citemill.plans import review as rv
 from citemill.plans import survey as sv
 from citemill.plans import validation as va
 from citemill.sources.corpus import from_pages, natural_order, file_fields, with_metadata
-from citemill.session import dealt
+from citemill.session import dealt, store
 from citemill.sources.metadata import normalise_sheet
 from citemill.synthetic import PROTOCOL as P
 
@@ -176,7 +176,7 @@ def summary_roles(spark, sf):
     """Role and confidence straight from the documents in one job."""
     from citemill.operators.classify import summarize
 
-    return summarize(mentions(spark, sf), P).groupBy("entity_type", "role", "confidence").agg(
+    return summarize(store(mentions(spark, sf), "mentions"), P).groupBy("entity_type", "role", "confidence").agg(
         F.count("*").alias("n"), F.sum("confidence_score").alias("score"))
 
 

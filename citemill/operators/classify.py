@@ -103,6 +103,7 @@ def summarize(mentions: DataFrame, protocol: Protocol, kinds: DataFrame | None =
     Counts and scores are partial aggregates without any text. The best quotations are ranked with a
     limit that Spark applies in each task before the shuffle, and only the first contexts are
     shuffled at all, so an entity with most of the mentions costs a few rows a task.
+    ``mentions`` is read three times, so it should be a stage table, not a plan over texts.
     ``kinds`` (article_id, article_kind) replaces the kinds of the mention table. ``quotes`` and ``contexts`` say how
     many of a group are kept; None keeps all, and then gathers them in one row.
     """
