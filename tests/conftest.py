@@ -13,8 +13,8 @@ from citemill.session import configure  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g")
-        .config("spark.citemill.partitions", "16").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("spark-shared")))
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g")
+        .config("spark.citemill.partitions", "8").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("spark-shared")))
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
