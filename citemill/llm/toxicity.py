@@ -6,7 +6,8 @@ by Spark; the table has at most 28^3 rows whatever the input.
 *Channel*: a written word may hide letters behind look-alike digits and marks, spaces or dots between letters, and
 repeated letters. Each such word is a lattice with the possible letters (and their channel cost) at each
 character; Viterbi over pairs of symbols finds the likeliest word under the character model. A run of three or more
-one-character words is one lattice. A word of letters alone without a triple repeat has one path and stays as it is.
+one-character words is one lattice. A word of letters alone, none twice in a row, has one path and stays as it is; other words are
+restored once for each worker and then remembered.
 
 *Score*: words, their openings and inner five-letter pieces have smoothed log-odds of toxic documents, from a bounded sample
 of labelled rows: ``max_positive`` toxic and ``max_negative`` other documents, first in hash order.
@@ -45,6 +46,7 @@ LOOKALIKES = {
 }
 _ENDS = re.compile(r"[^\w@$|+(<€£]+$|^[^\w@$!|+(<€£]+")
 _MARKS = re.compile(r"[%&*#$!?.,;:)\]}>\"']+$")
+_TWICE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
 #: Channel costs: a look-alike, a mark that hides nothing (at an end, inside), a mark that parts words, collapsed and doubled letters.
 SWAP, DROP, INSIDE, KEEP, SINGLE, DOUBLE = 1.0, 4.0, 9.0, 9.0, 0.5, 1.0
@@ -79,6 +81,8 @@ class Channel:
     """Restores a written word under the character model."""
 
     model: list = field(repr=False)  # log P(third | first, second)
+    cache_size: int = 200_000
+    cache: dict[str, str] = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Channel:
@@ -122,12 +126,16 @@ class Channel:
     def word(self, written: str) -> str:
         """The word behind one written word, in lower case."""
         core = _MARKS.sub("", written)
-        if core.isalpha() and not _TRIPLE.search(core):
+        if not core.isalpha() or _TRIPLE.search(core):
+            core = _ENDS.sub("", written)
+        if not any(map(str.isalpha, core)) or core.isalpha() and not _TWICE.search(core):
             return core
-        core = _ENDS.sub("", written)
-        if not any(map(str.isalpha, core)) or core.isalpha() and not _TRIPLE.search(core):
-            return core
-        return self.restore(core)
+        found = self.cache.get(core)
+        if found is None:
+            if len(self.cache) >= self.cache_size:
+                self.cache = {}
+            found = self.cache[core] = self.restore(core)
+        return found
 
 
 def spelled(words: list[str]) -> list[str]:

@@ -196,6 +196,17 @@ def test_toxicity_held_out(spark, trained):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in rows)
 
 
+def test_one_doubled_letter_is_restored(spark, trained):
+    docs, labels, _ = trained
+    scorer = toxicity.learn(docs, labels)
+    for written, word in (("stuupid", "stupid"), ("iddiot", "idiot"), ("morron", "moron"), ("cloown", "clown"), ("iddiot!", "idiot"), ("iddiot$", "idiot")):
+        assert scorer.channel.word(written) == word == scorer.channel.word(written)
+    assert [scorer.channel.word(w) for w in ("letter", "loose", "letter,", "water")] == ["letter", "loose", "letter", "water"]
+    assert scorer.score("that other morron with these iddiot under stuupid water letter") > 0.5
+    small = toxicity.Channel(scorer.channel.model, cache_size=2)
+    assert [small.word(w) for w in ("stuupid", "iddiot", "morron", "stuupid")] == ["stupid", "idiot", "moron", "stupid"] and len(small.cache) == 2
+
+
 def test_toxicity_without_labels(spark, trained):
     docs, labels, _ = trained
     assert {r["score"] for r in toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).collect()} == {0.0}
