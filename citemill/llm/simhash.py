@@ -23,6 +23,7 @@ is in its component but never names it unless all are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citemill.llm import near_copies
 from citemill.llm.common import binary_rows, text_of
 from citemill.llm.components import connected_components
 from citemill.session import store
@@ -117,12 +119,13 @@ def near_duplicates(documents: DataFrame, size: int = SIZE) -> DataFrame:
     return prints.join(store(classes, "fingerprint-classes"), "fingerprint", "left").select("doc_id", "text_hash", "fingerprint", "root", "component_id")
 
 
-def drop_near_duplicates(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """One document of each component, with all its columns: that of the smallest doc_id, then text hash; null ids come last.
+def drop_near_duplicates(documents: DataFrame, size: int = near_copies.SIZE, similarity: Fraction = near_copies.SIMILARITY) -> DataFrame:
+    """One document of each component of near copies, with all its columns: that of the smallest doc_id, then text hash; null ids come last.
 
+    The components are those of ``near_copies``: the fingerprints' two bits bind ``near_duplicates`` only.
     Rows meet the kept (doc_id, text hash) in one shuffle, which also leaves one of several equal rows.
     """
-    found = near_duplicates(documents, size)
+    found = near_copies.classes(documents, size, similarity)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("first"))
     key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(1 << 63)))
     kept = store(first.select(key("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "kept-documents")
