@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm import decontamination, html_text, line_dedup, line_quality, mixing, secret_scan, simhash, token_files, toxicity, url_filter
+from citemill.llm import (
+    decontamination, html_text, line_dedup, line_quality, mixing, periodic_runs, secret_scan, simhash, token_files, toxicity, url_filter,
+)
 from citemill.llm.common import table
 from citemill.session import checkpoint_dir
 
@@ -74,9 +76,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), periodic_runs.periodic_tail)
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    written = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = {c: F.col(f"best.{c}") for c in ("start", "length", "period")}
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[v.alias(c) for c, v in best.items()],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(written, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter, "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files, "op5_simhash": op5_simhash,
     "op6_line_quality": op6_line_quality, "op7_secret_scan": op7_secret_scan, "op8_decontamination": op8_decontamination,
-    "op9_toxicity": op9_toxicity, "op10_html_text": op10_html_text,
+    "op9_toxicity": op9_toxicity, "op10_html_text": op10_html_text, "op13_periodic_runs": op13_periodic_runs,
 }
