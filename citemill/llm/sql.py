@@ -93,4 +93,32 @@ j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (gone > 0 AND word_chars - gone < {MIN_LEFT}::DOUBLE * word_chars) AS kept FROM j"""
 
-ORACLES = {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op3_mixing": OP3, "op6_line_quality": OP6}
+OP11 = """
+WITH RECURSIVE tab(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT *, md5(strlen(role) || ':' || role || text) AS key, strlen(text) AS bytes FROM t),
+p AS (SELECT conv_id, key, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) - 1 AS pos FROM h),
+crc(conv_id, s, at, c) AS (SELECT conv_id, conv_id::VARCHAR, 0, 4294967295 FROM (SELECT DISTINCT conv_id FROM t) UNION ALL
+  SELECT conv_id, s, at + 1, xor(crc.c >> 8, tab.c) FROM crc JOIN tab ON tab.k = 8 AND tab.i = xor(crc.c & 255, ascii(s[at + 1])) WHERE at < length(s)),
+shared AS (SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE at = length(s)),
+b AS (SELECT c.conv_id, p.pos, p.key, p.bytes FROM shared c JOIN p ON p.conv_id = c.conv_id - c.conv_id % 5 AND p.pos < c.h
+  UNION ALL SELECT p.conv_id, p.pos + 1000000, p.key, p.bytes FROM p JOIN shared c USING (conv_id) WHERE p.pos >= c.h),
+r AS (SELECT conv_id, row_number() OVER w AS depth, bytes, string_agg(key, '' ORDER BY pos) OVER w AS prefix FROM b
+  WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM shared),
+n AS (SELECT min(conv_id) AS conv_id, depth, prefix, count(*) AS n_convs, any_value(bytes) AS bytes FROM r GROUP BY depth, prefix),
+m AS (SELECT r.conv_id AS member, n.* FROM r JOIN n USING (depth, prefix)),
+up AS (SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id FROM n LEFT JOIN m ON m.member = n.conv_id AND m.depth = n.depth - 1),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+k AS (SELECT n.*, coalesce(kids.n_children, 0) AS n_children FROM n LEFT JOIN kids USING (conv_id, depth)),
+sub AS (SELECT m.conv_id, m.depth, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((k.n_convs - 1) * k.bytes) AS saved_tokens
+  FROM k JOIN m ON m.member = k.conv_id AND m.depth <= k.depth GROUP BY ALL),
+last AS (SELECT conv_id, max(depth) AS depth FROM r GROUP BY conv_id),
+ends AS (SELECT m.conv_id, m.depth, sha256(string_agg(last.conv_id::VARCHAR, ',' ORDER BY last.conv_id)) AS ends_sha256
+  FROM last JOIN m ON m.member = last.conv_id AND m.depth = last.depth GROUP BY ALL)
+SELECT k.conv_id, k.depth, up.parent_conv_id, k.n_convs, k.n_children, sub.n_leaves::BIGINT AS n_leaves, sub.saved_tokens::BIGINT AS saved_tokens,
+  coalesce(ends.ends_sha256, sha256('')) AS ends_sha256
+FROM k JOIN up USING (conv_id, depth) JOIN sub USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op3_mixing": OP3, "op6_line_quality": OP6, "op11_prefix_trie": OP11}
