@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.llm import (
-    decontamination, html_text, line_dedup, line_quality, mixing, periodic_runs, prefix_trie, secret_scan, simhash, token_files, toxicity, url_filter,
+    decontamination, html_text, line_dedup, line_quality, mixing, near_vectors, periodic_runs, prefix_trie, secret_scan, simhash, token_files, toxicity, url_filter,
 )
 from citemill.llm.common import table
 from citemill.session import checkpoint_dir
@@ -80,6 +80,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), periodic_runs.periodic_tail)
     line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
@@ -95,5 +99,5 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter, "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files, "op5_simhash": op5_simhash,
     "op6_line_quality": op6_line_quality, "op7_secret_scan": op7_secret_scan, "op8_decontamination": op8_decontamination,
-    "op9_toxicity": op9_toxicity, "op10_html_text": op10_html_text, "op11_prefix_trie": op11_prefix_trie, "op13_periodic_runs": op13_periodic_runs,
+    "op9_toxicity": op9_toxicity, "op10_html_text": op10_html_text, "op11_prefix_trie": op11_prefix_trie, "op12_embedding_dedup": op12_embedding_dedup, "op13_periodic_runs": op13_periodic_runs,
 }

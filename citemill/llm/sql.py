@@ -99,9 +99,9 @@ WITH RECURSIVE tab(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL
 t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
 h AS (SELECT *, md5(strlen(role) || ':' || role || text) AS key, strlen(text) AS bytes FROM t),
 p AS (SELECT conv_id, key, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) - 1 AS pos FROM h),
-crc(conv_id, s, at, c) AS (SELECT conv_id, conv_id::VARCHAR, 0, 4294967295 FROM (SELECT DISTINCT conv_id FROM t) UNION ALL
-  SELECT conv_id, s, at + 1, xor(crc.c >> 8, tab.c) FROM crc JOIN tab ON tab.k = 8 AND tab.i = xor(crc.c & 255, ascii(s[at + 1])) WHERE at < length(s)),
-shared AS (SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE at = length(s)),
+crc(conv_id, s, place, c) AS (SELECT conv_id, conv_id::VARCHAR, 0, 4294967295 FROM (SELECT DISTINCT conv_id FROM t) UNION ALL
+  SELECT conv_id, s, place + 1, xor(crc.c >> 8, tab.c) FROM crc JOIN tab ON tab.k = 8 AND tab.i = xor(crc.c & 255, ascii(s[place + 1])) WHERE place < length(s)),
+shared AS (SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE place = length(s)),
 b AS (SELECT c.conv_id, p.pos, p.key, p.bytes FROM shared c JOIN p ON p.conv_id = c.conv_id - c.conv_id % 5 AND p.pos < c.h
   UNION ALL SELECT p.conv_id, p.pos + 1000000, p.key, p.bytes FROM p JOIN shared c USING (conv_id) WHERE p.pos >= c.h),
 r AS (SELECT conv_id, row_number() OVER w AS depth, bytes, string_agg(key, '' ORDER BY pos) OVER w AS prefix FROM b
@@ -121,4 +121,14 @@ SELECT k.conv_id, k.depth, up.parent_conv_id, k.n_convs, k.n_children, sub.n_lea
   coalesce(ends.ends_sha256, sha256('')) AS ends_sha256
 FROM k JOIN up USING (conv_id, depth) JOIN sub USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)"""
 
-ORACLES = {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op3_mixing": OP3, "op6_line_quality": OP6, "op11_prefix_trie": OP11}
+OP12 = """
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS i, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT * FROM r WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i <> b.i AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT i, i FROM r UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT reach.a AS i, min(r.vec_id) AS component_id FROM reach JOIN r ON r.i = reach.b GROUP BY reach.a),
+n AS (SELECT a AS i, count(*) AS n_links FROM l GROUP BY a)
+SELECT r.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, r.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM r JOIN c USING (i) LEFT JOIN n USING (i)"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_url_filter": OP2, "op3_mixing": OP3, "op6_line_quality": OP6, "op11_prefix_trie": OP11, "op12_embedding_dedup": OP12}
