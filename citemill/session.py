@@ -48,7 +48,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/citemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stage_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete stage tables once everything read from them has been written itself."""
+    from citemill.sources.files import delete
+
+    for df in stored:
+        delete(df.sparkSession, df.stage_path)
 
 
 def dealt(df: DataFrame) -> DataFrame:

@@ -15,3 +15,9 @@ def has_content(spark: SparkSession, folder: str) -> bool:
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     listed = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(location)
     return any(f.getLen() > 0 and f.getPath().getName().startswith("part-") for f in listed)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds; nothing if it is not there."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
