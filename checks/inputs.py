@@ -51,19 +51,14 @@ def clusters(spark: SparkSession, sf_dir: str):
 
 
 def context_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` for the single-variable classifier."""
+    """``documents`` for the single-variable classifier, with a page start every 1000 characters."""
     from citemill.functions.text import word_count
-    from citemill.operators.metadata import guess_title_context
     from citemill.plans import context as ctx
 
-    docs = raw_articles(spark, sf_dir).select(
-        "article_id", "source_path", "text", "pages",
-        guess_title_context(F.col("text"), F.lit(""), F.col("metadata")).alias("title"),
-        F.array(F.lit(0)).alias("page_starts"), word_count(F.col("text")).alias("word_count"),
-    )
-    return docs.withColumn(
-        "article_kind", ctx.article_kind(F.col("title"), F.lit(""), F.col("text"), CONTEXT.cues)
-    )
+    text = F.coalesce("text", F.lit(""))
+    return ctx.describe_articles(raw_articles(spark, sf_dir), CONTEXT).select(
+        "article_id", "source_path", "text", "pages", "title", F.sequence(F.lit(0), F.length(text), F.lit(1000)).alias("page_starts"),
+        word_count(F.col("text")).alias("word_count"), "article_kind")
 
 
 def _context_protocol():
@@ -101,18 +96,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two metadata sources per document: a slice from its middle, and for even ids its opening."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("doc_id").cast("string").alias("article_id"), F.substring("text", 1, 400).alias("head")
-    )
-    middle = F.create_map(
-        F.lit("Paper name"), F.substring("head", 201, 60), F.lit("Year"), F.concat(F.lit("in "), F.lit(1950) + F.col("doc_id") % 100),
+    """Two metadata sources for every document, titled by slices from anywhere in its whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("article_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def piece(step: int, size: int):
+        return F.substring("text", (F.col("doc_id") * step % F.greatest(F.length("text") - size, F.lit(1)) + 1).cast("int"), F.lit(size))
+
+    one = F.create_map(
+        F.lit("Paper name"), piece(7919, 60), F.lit("Year"), F.concat(F.lit("in "), F.lit(1950) + F.col("doc_id") % 100),
         F.lit("DOI"), F.concat(F.lit("doi:10.1234/AB."), "article_id", F.lit(".")),
     )
-    opening = F.create_map(F.lit("title"), F.substring("head", 1, 80), F.lit("Study type"), F.lit(" cohort  study "))
-    return docs.select(F.lit(0).alias("source_ord"), "article_id", middle.alias("row")).unionByName(
-        docs.where("doc_id % 2 = 0").select(F.lit(1).alias("source_ord"), "article_id", opening.alias("row"))
-    )
+    two = F.create_map(F.lit("title"), piece(104729, 80), F.lit("Study type"), F.lit(" cohort  study "))
+    return docs.select(F.lit(0).alias("source_ord"), "article_id", one.alias("row")).unionByName(
+        docs.select(F.lit(1).alias("source_ord"), "article_id", two.alias("row")))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

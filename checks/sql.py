@@ -226,7 +226,8 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
  FROM chosen_features, (SELECT count(*) AS n FROM art) GROUP BY feature, n HAVING sqrt(greatest(0, sum(value * value) / n - (sum(value) / n) * (sum(value) / n))) > 1e-6"""),
     "judge": ((), "SELECT CAST(doc_id AS VARCHAR) AS article_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS verdict FROM labels"),
     "meta": (("raw",), f"""
- SELECT r.article_id, doc_id, text, substr(text, 201, 60) AS t0, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 80) ELSE '' END AS t1, doc_id % 2 = 0 AS two
+ SELECT r.article_id, doc_id, text, substr(coalesce(text, ''), doc_id * 7919 % greatest(length(coalesce(text, '')) - 60, 1) + 1, 60) AS t0,
+  substr(coalesce(text, ''), doc_id * 104729 % greatest(length(coalesce(text, '')) - 80, 1) + 1, 80) AS t1, true AS two
  FROM raw r JOIN (SELECT doc_id, CAST(doc_id AS VARCHAR) AS article_id FROM documents) USING (article_id)"""),
     "cpages": ((), r"""
  SELECT CAST(conv_id AS VARCHAR) AS article_id, turn AS page_no,
@@ -258,7 +259,8 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
  SELECT article_id, label_es AS contaminante, any_value(source_path) AS pdf_path, any_value(title) AS title, any_value(article_kind) AS article_kind, any_value(category) AS familia,
   sum(score) AS score, count(*) AS n, {', '.join(f"count_if(section = '{s}') AS n_{s}" for s in fixed.CONTEXT_SECTION_WEIGHTS)},
   count_if(c_exposure) AS n_exposure, count_if(c_dose) AS n_dose, count_if(c_background) AS n_background,
-  array_to_string(list('p.1 [' || section || '] ' || context ORDER BY CASE WHEN section IN ('title_abstract', 'methods', 'results') THEN 0 ELSE 1 END, c_exposure DESC, c_dose DESC, ord)[1:3], ' || ') AS ejemplos
+  array_to_string(list('p.' || (start_at::BIGINT // 1000 + 1) || ' [' || section || '] ' || context ORDER BY CASE WHEN section IN ('title_abstract', 'methods', 'results') THEN 0 ELSE 1 END,
+   c_exposure DESC, c_dose DESC, start_at::BIGINT // 1000, ord)[1:3], ' || ') AS ejemplos
  FROM cment GROUP BY article_id, label_es)"""),
     "ccat": (("cgroup",), "SELECT familia, " + ", ".join(
         f"count(DISTINCT article_id) FILTER (clasificacion = '{c}') AS articulos_{c}, coalesce(sum(n) FILTER (clasificacion = '{c}'), 0)::BIGINT AS menciones_{c}" for c in fixed.CONTEXT_CLASSES
@@ -483,7 +485,7 @@ ORACLES: dict[str, str] = {
     "feature_stats": sql("SELECT feature, round(mean, 6) AS mean, round(deviation, 6) AS deviation FROM fstats", "fstats"),
     "standardised_features": sql("SELECT article_id, feature, round((value - mean) / deviation, 5) AS z FROM chosen_features JOIN fstats USING (feature)", "fstats", "chosen_features"),
     "context_mention_rows": sql(
-        "SELECT article_id, source_path AS pdf_path, 1 AS page, title, article_kind, category AS familia, label_es AS contaminante, matched_text, section, score AS score_mencion, "
+        "SELECT article_id, source_path AS pdf_path, start_at::BIGINT // 1000 + 1 AS page, title, article_kind, category AS familia, label_es AS contaminante, matched_text, section, score AS score_mencion, "
         f"{yes('c_exposure')} AS exposure_cue, {yes('c_dose')} AS dose_cue, {yes('c_background')} AS background_cue, {yes('generic')} AS generic_term, context FROM cment", "cment"),
     "context_summary": sql(
         "SELECT article_id, pdf_path, title, article_kind, familia, contaminante, clasificacion, score::BIGINT AS score_contextual, n AS menciones_totales, "

@@ -20,6 +20,19 @@ class Term:
     generic: bool = False
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How far the reference rules look into a text: characters, or lines for titles. None lifts a limit."""
+
+    kind_chars: int | None = 1800
+    year_chars: int | None = 4000
+    doi_chars: int | None = 10_000
+    metadata_chars: int | None = 12_000
+    title_lines: int | None = 90
+    context_kind_chars: int | None = 1200
+    context_title_lines: int | None = 80
+
+
 @dataclass(frozen=True)
 class Protocol:
     terms: tuple[Term, ...]
@@ -35,6 +48,7 @@ class Protocol:
     relation_distance: int = 900
     kmeans_k: int = 4
     validation_sample_size: int = 200
+    limits: Limits = Limits()
 
     @property
     def sections(self) -> list[str]:

@@ -23,6 +23,10 @@ _STARTER = "[A-ZÁÉÍÓÚÜÑ0-9]"
 _UP_TO_LAST_BREAK = f"(?s)^.*[.!?][{SPACE}]+(?={_STARTER})"
 _UP_TO_FIRST_BREAK = f"(?s)^.*?[.!?](?=[{SPACE}]+{_STARTER})"
 SENTENCE_REACH = 900
+# characters to both sides that stand for a sentence without any text
+EMPTY_SENTENCE_RADIUS = 180
+# characters of a text block
+BLOCK = 4096
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 PAGE_BREAK = "\f"
 PAGE_JOIN = "\n\f\n"
@@ -90,7 +94,7 @@ def sentence_at(text: Column, start: Column, end: Column, reach: int = SENTENCE_
     first = F.regexp_extract(rest, _UP_TO_FIRST_BREAK, 0)
     tail = F.when(first != "", first).otherwise(rest)
     inside = squash(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), tail))
-    walked = sentence_in(cut(text, left, right), start - left, context_window(text, start, end, 180))
+    walked = sentence_in(cut(text, left, right), start - left, context_window(text, start, end, EMPTY_SENTENCE_RADIUS))
     visible = ~cut(text, start, start + 1).rlike(f"^[{SPACE}]?$")
     return F.when(visible, inside).otherwise(walked)
 
@@ -143,13 +147,18 @@ def page_breaks(text: Column) -> Column:
     return F.when(F.size(parts) > 1, offsets).otherwise(F.array().cast("array<int>"))
 
 
-def page_at(breaks: Column, position: Column, pages: Column, length: Column) -> Column:
-    """Page of a position: counted form feeds, else proportional, else 1."""
-    counted = F.size(F.filter(breaks, lambda b: b < position)) + 1
+def page_of(before: Column, n_breaks: Column, position: Column, pages: Column, length: Column) -> Column:
+    """Page of a position with so many form feeds before it: counted, else proportional, else 1."""
+    counted = before + 1
     share = (position / F.greatest(length, F.lit(1)) * pages).cast("int") + 1
     return (
-        F.when(F.size(breaks) > 0, F.when(pages > 0, F.least(counted, pages)).otherwise(counted))
+        F.when(n_breaks > 0, F.when(pages > 0, F.least(counted, pages)).otherwise(counted))
         .when((pages <= 1) | (length == 0), F.lit(1))
         .otherwise(F.greatest(F.lit(1), F.least(pages, share)))
         .cast("int")
     )
+
+
+def page_at(breaks: Column, position: Column, pages: Column, length: Column) -> Column:
+    """Page of a position by the offsets of the form feeds of its text."""
+    return page_of(F.size(F.filter(breaks, lambda b: b < position)), F.size(breaks), position, pages, length)

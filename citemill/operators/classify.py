@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citemill import fixed
-from citemill.config import Protocol
+from citemill.config import Limits, Protocol
 from citemill.functions.regex import contains_any, is_unusual, matches_any
 from citemill.operators.groups import top_rows
 
@@ -17,7 +17,7 @@ KEY = ["article_id", "entity_type", "entity_id"]
 # Limits of the reference rules, each the default of a parameter; None lifts it.
 EVIDENCE_ROWS = 3
 CONTEXT_ROWS = 8
-OPENING_CHARS = 1800
+OPENING_CHARS = Limits().kind_chars
 
 
 def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str, list[str]], chars: int | None = OPENING_CHARS) -> Column:

@@ -15,11 +15,10 @@ from citemill.config import Protocol, Term
 from citemill.functions import text as tx
 from citemill.functions.labels import section_weight
 from citemill.functions.regex import is_unusual, matches_any
-from citemill.operators.scan import find_terms
-from citemill.operators.sections import section_at, with_sections
-
-BLOCK = 4096
-
+from citemill.functions.text import BLOCK, EMPTY_SENTENCE_RADIUS
+from citemill.operators.scan import find_terms, ranks_among
+from citemill.operators.relations import evidence_points
+from citemill.operators.sections import section_of, with_sections
 
 def _blocks(text: Column) -> Column:
     """Text as consecutive blocks of ``BLOCK`` characters."""
@@ -28,27 +27,33 @@ def _blocks(text: Column) -> Column:
     )
 
 
-def explode_spans(articles: DataFrame, terms: tuple[Term, ...], keep_overlaps: bool = False, keep_empty: bool = False) -> DataFrame:
-    """One row per match: article columns but ``text``, plus mention_idx, span and blocks.
+def explode_spans(found: DataFrame, section_starts: Column, keep_empty: bool = False, distance: int | None = None) -> DataFrame:
+    """One row per match: article columns but ``text``, plus mention_idx, the fields of ``find_terms``, section_no and blocks.
 
-    With ``keep_empty`` an article without a match has one row with a null match.
+    ``found`` holds ``find_terms`` as ``hits``; put it beside ``find_headers``, so that a text crosses to Python once.
+    ``section_no`` is the number of section starts up to the match.
+    With ``keep_empty`` an article without a match has one row with a null match. With ``distance`` the first row of each article holds
+    ``quotable``: the text blocks in which a quotation of two matches can begin, each with what follows in reach.
 
     The outer explode plus filter is deliberate: a plain explode makes the optimizer
     repeat the scan function inside an inferred ``size(hits) > 0`` filter.
     """
-    rest = [c for c in articles.columns if c != "text"]
-    hits = articles.withColumn("hits", find_terms(F.col("text"), terms, keep_overlaps))
-    rows = (
-        hits.select(
-            *rest,
-            F.length("text").alias("text_chars"),
-            tx.page_breaks(F.col("text")).alias("breaks"),
-            _blocks(F.col("text")).alias("blocks"),
-            "hits",
-        )
-        .select(*rest, "text_chars", "breaks", "blocks", F.posexplode_outer("hits").alias("mention_idx", "hit"))
-    )
-    return rows if keep_empty else rows.where(F.col("hit").isNotNull())
+    rest = [c for c in found.columns if c not in ("text", "hits")]
+    extra = ["text_chars", "blocks"]
+    hits = found.select(
+        *rest, F.length("text").alias("text_chars"), _blocks(F.col("text")).alias("blocks"), "hits",
+        ranks_among(section_starts, F.transform("hits", lambda h: h["start"])).alias("section_nos"))
+    if distance is not None:
+        paired = F.filter("hits", lambda h: h["partners"].isNotNull())
+        begins = F.flatten(F.transform(paired, lambda h: F.array(h["start"], h["sentence_from"])))
+        numbers = F.array_distinct(F.transform(begins, lambda b: F.floor(b / BLOCK).cast("int")))
+        after = 1 + -(-max(distance, 3 * tx.SENTENCE_REACH) // BLOCK)
+        hits = hits.withColumn("quotable", F.transform(numbers, lambda n: F.struct(
+            n.alias("no"), F.array_join(F.slice("blocks", n + 1, F.lit(after)), "").alias("text"))))
+        extra.append("quotable")
+    placed = F.arrays_zip(F.col("hits").alias("hit"), F.col("section_nos").alias("section_no"))
+    rows = hits.select(*rest, *extra, F.posexplode_outer(placed).alias("mention_idx", "h")).select("*", "h.section_no", "h.hit").drop("h")
+    return (rows if keep_empty else rows.where(F.col("hit").isNotNull())).select("*", "hit.*").drop("hit")
 
 
 def with_fragment(hits: DataFrame, left: int, right: int) -> DataFrame:
@@ -90,8 +95,9 @@ def find_mentions(articles: DataFrame, protocol: Protocol, carry: tuple[str, ...
 
     ``articles`` needs article_id, source_path, text, pages, text_extractable and
     article_kind. Besides the exported columns the result carries ``nth`` (order of a
-    mention among those of its term), ``left_text`` / ``right_text`` for concordances
-    and ``ahead``, the text a pair starting here may quote.
+    mention among those of its term), ``left_text`` / ``right_text`` for concordances, and what relations need without any text:
+    ``sentence_key`` (hash of a sentence that quotes the mention), its bounds and points, and ``partners`` (idx, span, points), the later
+    mentions of the other slot in reach. The first mention of an article holds its ``quotable`` text blocks.
 
     ``carry`` names article columns that the first row of each article returns as the struct
     ``article``, so one pass over the texts gives both tables. Every article has a row then; it has a
@@ -107,24 +113,33 @@ def find_mentions(articles: DataFrame, protocol: Protocol, carry: tuple[str, ...
         source = articles.select(*columns, text, F.struct(*carry).alias("article"))
     else:
         source = articles.where("text_extractable").select(*columns, "text")
-    hits = explode_spans(with_sections(source, protocol.headers), protocol.terms, keep_empty=bool(carry)).select(
-        "*", "hit.*"
-    )
+    starts = F.transform("spans", lambda s: s["start"])
+    found = source.withColumn("hits", find_terms(F.col("text"), protocol.terms, distance=protocol.relation_distance))
+    hits = explode_spans(with_sections(found, protocol.headers), starts, bool(carry), protocol.relation_distance)
     hits = with_fragment(
-        hits.withColumn("section", section_at(F.col("spans"), F.col("start")))
-        .withColumn("page", tx.page_at(F.col("breaks"), F.col("start"), F.col("pages"), F.col("text_chars")))
-        .drop("spans", "breaks"),
+        hits.withColumn("section", section_of(F.col("spans"), F.col("section_no")))
+        .withColumn("page", tx.page_of(F.col("page_no"), F.col("page_breaks"), F.col("start"), F.col("pages"), F.col("text_chars")))
+        .drop("spans"),
         reach, ahead,
     )
     size = F.col("end") - F.col("start")
     fragment, at = F.col("fragment"), F.col("at")
+    whole = tx.squash(tx.cut(fragment, at - F.col("start") + F.col("sentence_from"), at - F.col("start") + F.col("sentence_to")))
+    quoted = (F.col("sentence") != "") & F.col("sentence").contains(tx.squash(F.col("matched_text")))
+    joint = lambda p: F.struct(
+        p["idx"].alias("idx"), p["span"].alias("span"),
+        evidence_points(tx.squash(tx.cut(fragment, at, at + p["span"])), protocol.cues).cast("int").alias("points"))
     rows = (
         hits.withColumn("matched_text", tx.cut(fragment, at, at + size))
         .withColumn("context", tx.context_window(fragment, at, at + size, protocol.context_radius))
-        .withColumn("sentence", tx.sentence_at(fragment, at, at + size))
+        .withColumn("sentence", F.when(whole != "", whole).otherwise(tx.context_window(fragment, at, at + size, EMPTY_SENTENCE_RADIUS)))
+        .withColumn("sentence_from", F.when(whole != "", F.col("sentence_from")).otherwise(F.greatest(F.col("start") - EMPTY_SENTENCE_RADIUS, F.lit(0))))
+        .withColumn("sentence_to", F.when(whole != "", F.col("sentence_to")).otherwise(F.col("end") + EMPTY_SENTENCE_RADIUS))
+        .withColumn("sentence_key", F.when(quoted, F.unhex(F.md5("sentence"))))
+        .withColumn("sentence_points", F.when(F.col("sentence_key").isNotNull() & F.col("partners").isNotNull(), evidence_points(F.col("sentence"), protocol.cues).cast("int")))
+        .withColumn("partners", F.transform("partners", joint))
         .withColumn("left_text", tx.cut(fragment, at - protocol.kwic_radius, at))
         .withColumn("right_text", tx.cut(fragment, at + size, at + size + protocol.kwic_radius))
-        .withColumn("ahead", tx.cut(fragment, at, at + protocol.relation_distance))
         .withColumn("entity", F.element_at(term_fields(protocol.terms), F.col("term") + 1))
         .select("*", "entity.*")
     )
@@ -136,6 +151,7 @@ def find_mentions(articles: DataFrame, protocol: Protocol, carry: tuple[str, ...
         "article_id", "source_path", "article_kind", "mention_idx", "nth",
         "entity_type", "entity_id", "label_es", "label_en", "category", "is_generic",
         "matched_text", "section", "start", "end", "page", "context", "sentence",
-        *[f"cue_{c}" for c in fixed.MENTION_CUES], "score", "left_text", "right_text", "ahead",
+        *[f"cue_{c}" for c in fixed.MENTION_CUES], "score", "left_text", "right_text", "sentence_key", "sentence_points", "sentence_from", "sentence_to", "partners",
+        F.when(F.col("mention_idx") == 0, F.col("quotable")).alias("quotable"),
         *([F.when(F.coalesce("mention_idx", F.lit(0)) == 0, F.col("article")).alias("article")] if carry else []),
     )

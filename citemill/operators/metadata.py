@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill import fixed
+from citemill.config import Limits
 from citemill.functions.labels import first_filled
 from citemill.functions.regex import contains_any, extract
 from citemill.functions.text import LINE_BREAK, squash
 from citemill.operators.groups import top_rows
 
-# Reach of the reference rules into a text: characters for a title's words, a year and a DOI, lines for a title.
-# Each is the default of a parameter; None looks at the whole text.
-SCANNED_CHARS, YEAR_CHARS, DOI_CHARS = 12000, 4000, 10000
-TITLE_LINES, CONTEXT_TITLE_LINES = 90, 80
+# Reach of the reference rules into a text, the defaults of parameters; None looks at the whole text.
+_L = Limits()
+SCANNED_CHARS, YEAR_CHARS, DOI_CHARS = _L.metadata_chars, _L.year_chars, _L.doi_chars
+TITLE_LINES, CONTEXT_TITLE_LINES = _L.title_lines, _L.context_title_lines
 
 
 def opening_of(text: Column, chars: int | None) -> Column:

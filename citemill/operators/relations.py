@@ -5,11 +5,12 @@ Two mentions can be quoted together in two ways, and each way has its own join:
 * they resolve to the same sentence. The quotation and its cues are then the same for
   all pairs of that sentence, so the best pair is the best A mention with the best B
   mention; one representative per (sentence, entity) is enough and repeated
-  boilerplate never multiplies out.
-* they lie within ``relation_distance`` characters. The join key is (article, text block),
-  so even one huge article spreads over many tasks.
+  boilerplate never multiplies out. Sentences meet by a 128-bit hash.
+* they lie within ``relation_distance`` characters. The scan has swept over the sorted matches of each text and listed these pairs
+  with their joint length and points, so one join by (article, mention) adds the other side, and even one huge article spreads over many tasks.
 
-Candidates meet in one partial aggregate per (article, A, B) that keeps the best.
+Candidates are integers and short names. They meet in one partial aggregate per (article, A, B) that keeps the best; only then is its
+quotation cut, from the text blocks the scan kept.
 """
 
 from __future__ import annotations
@@ -20,30 +21,15 @@ from pyspark.sql import functions as F
 from citemill import fixed
 from citemill.config import Protocol
 from citemill.functions.labels import first_filled
-from citemill.functions.regex import is_unusual, matches_any
-from citemill.functions.text import squash
+from citemill.functions.regex import matches_any
+from citemill.functions.text import BLOCK, cut, squash
 
 PAIR = ["article_id", "entity_a_id", "entity_b_id"]
 
 
-def _side(mentions: DataFrame, slot: str, columns: list[str]) -> DataFrame:
-    """Mentions of one slot, columns suffixed by the slot."""
-    return mentions.where(F.col("entity_type") == slot).select(
-        "article_id", *[F.col(c).alias(f"{c}_{slot}") for c in columns]
-    )
-
-
-def _slim(mentions: DataFrame) -> DataFrame:
-    form = squash(F.col("matched_text"))
-    return mentions.withColumn("form", form).withColumn(
-        "in_sentence", (F.col("sentence") != "") & F.col("sentence").contains(form)
-    )
-
-
 def evidence_section() -> Column:
     """Section of the earlier mention; ties by name, so slots can be swapped."""
-    sides = [F.struct(F.col(f"start_{s}").alias("p"), F.col(f"section_{s}").alias("s")) for s in "ab"]
-    return F.least(*sides)["s"]
+    return F.least(*[F.struct(F.col(f"{m}.start").alias("p"), F.col(f"{m}.section").alias("s")) for m in "ab"])["s"]
 
 
 def evidence_points(evidence: Column, cues: dict[str, list[str]], unusual: Column | None = None) -> Column:
@@ -79,77 +65,52 @@ def relation_confidence(score: Column, section: Column, association: Column) ->
     )
 
 
-def sentence_pairs(mentions: DataFrame) -> DataFrame:
-    """Best A and best B mention of every sentence that quotes both."""
-    best = (
-        _slim(mentions)
-        .where("in_sentence")
-        .groupBy("article_id", "sentence", "entity_type", "entity_id")
-        .agg(
-            F.max_by(
-                F.struct("mention_idx", "start", "section", "score", "article_kind"),
-                F.struct(F.col("score"), -F.col("mention_idx")),
-            ).alias("m")
-        )
-        .select("article_id", "sentence", "entity_type", "entity_id", "m.*")
-    )
-    columns = ["sentence", "entity_id", "mention_idx", "start", "section", "score", "article_kind"]
-    a, b = _side(best, "a", columns), _side(best, "b", columns)
-    return a.join(
-        b, (a["article_id"] == b["article_id"]) & (F.col("sentence_a") == F.col("sentence_b"))
-    ).select(
-        a["article_id"],
-        F.col("entity_id_a").alias("entity_a_id"), F.col("entity_id_b").alias("entity_b_id"),
-        "mention_idx_a", "mention_idx_b",
-        (F.col("score_a") + F.col("score_b")).alias("base_score"),
-        evidence_section().alias("section"), F.col("sentence_a").alias("evidence"),
-        F.col("article_kind_a").alias("article_kind"),
-    )
-
-
-def near_pairs(mentions: DataFrame, distance: int) -> DataFrame:
-    """Pairs whose joint span fits in ``distance`` and that no sentence quotes."""
-    # blocks four distances wide: few B mentions lie near an edge and need a second copy
-    width = max(1, 4 * distance)
-    slim = _slim(mentions).withColumn("sentence_key", F.when(F.col("in_sentence"), F.col("sentence")))
-    columns = ["entity_id", "mention_idx", "start", "end", "section", "score", "form", "sentence_key", "ahead", "article_kind"]
-    a = _side(slim, "a", columns).withColumn("block", F.floor(F.col("start_a") / width))
-    b = _side(slim, "b", columns).withColumn(
-        "block",
-        F.explode(F.sequence(F.floor((F.col("start_b") - distance) / width), F.floor((F.col("start_b") + distance) / width))),
-    )
-    span = F.greatest("end_a", "end_b") - F.least("start_a", "start_b")
-    quoted = F.coalesce(F.col("sentence_key_a") == F.col("sentence_key_b"), F.lit(False))
-    first = F.when(F.col("start_a") <= F.col("start_b"), F.col("ahead_a")).otherwise(F.col("ahead_b"))
-    evidence = squash(F.substring(first, F.lit(1), span))
-    pairs = a.join(b, ["article_id", "block"]).where((span <= distance) & ~quoted)
-    return pairs.withColumn("evidence", evidence).where(
-        F.col("evidence").contains(F.col("form_a")) & F.col("evidence").contains(F.col("form_b"))
-    ).select(
-        "article_id", F.col("entity_id_a").alias("entity_a_id"), F.col("entity_id_b").alias("entity_b_id"),
-        "mention_idx_a", "mention_idx_b",
-        (F.col("score_a") + F.col("score_b")).alias("base_score"),
-        evidence_section().alias("section"), "evidence", F.col("article_kind_a").alias("article_kind"),
+def _candidates(rows: DataFrame, points: Column, begin: Column, end: Column) -> DataFrame:
+    """Rows of two mentions ``a`` and ``b`` as candidate pairs; the quotation is text[begin, end)."""
+    return rows.select(
+        "article_id", F.col("a.entity_id").alias("entity_a_id"), F.col("b.entity_id").alias("entity_b_id"),
+        F.col("a.mention_idx").alias("mention_idx_a"), F.col("b.mention_idx").alias("mention_idx_b"),
+        (F.col("a.score") + F.col("b.score") + points).cast("int").alias("confidence_score"),
+        evidence_section().alias("section"), begin.alias("begin"), end.alias("end"), F.col("a.article_kind").alias("article_kind"),
     )
 
 
-def best_pairs(mentions: DataFrame, protocol: Protocol) -> DataFrame:
+def sentence_pairs(mentions: DataFrame) -> DataFrame:
+    """Best A and best B mention of every sentence that quotes both."""
+    m = F.struct("entity_id", "mention_idx", "start", "section", "score", "article_kind", "sentence_points", "sentence_from", "sentence_to")
+    best = mentions.where("sentence_key IS NOT NULL AND partners IS NOT NULL").groupBy("article_id", "sentence_key", "entity_type", "entity_id").agg(
+        F.max_by(m, F.struct(F.col("score"), -F.col("mention_idx"))).alias("m"))
+    side = lambda slot: best.where(F.col("entity_type") == slot).select("article_id", "sentence_key", F.col("m").alias(slot))
+    pairs = side("a").join(side("b"), ["article_id", "sentence_key"])
+    return _candidates(pairs, F.col("a.sentence_points"), F.col("a.sentence_from"), F.col("a.sentence_to"))
+
+
+def near_pairs(mentions: DataFrame) -> DataFrame:
+    """Pairs in reach of each other that no sentence quotes."""
+    m = F.struct("entity_type", "entity_id", "mention_idx", "start", "section", "score", "article_kind", "sentence_key").alias("m")
+    first = mentions.where(F.size("partners") > 0).select("article_id", m, F.explode("partners").alias("p")).select(
+        "article_id", F.col("m").alias("first"), F.col("p.idx").alias("idx"), F.col("p.span").alias("span"), F.col("p.points").alias("points"))
+    other = mentions.where("partners IS NOT NULL").select("article_id", F.col("mention_idx").alias("idx"), m.alias("other"))
+    quoted = F.coalesce(F.col("first.sentence_key") == F.col("other.sentence_key"), F.lit(False))
+    ahead = F.col("first.entity_type") == "a"
+    pairs = first.join(other, ["article_id", "idx"]).where(~quoted).select(
+        "article_id", F.when(ahead, F.col("first")).otherwise(F.col("other")).alias("a"), F.when(ahead, F.col("other")).otherwise(F.col("first")).alias("b"),
+        F.col("first.start").alias("begin"), "span", "points")
+    return _candidates(pairs, F.col("points"), F.col("begin"), F.col("begin") + F.col("span"))
+
+
+def best_pairs(mentions: DataFrame) -> DataFrame:
     """Highest-scoring quotation per (article, A, B); the earliest pair wins ties."""
-    pairs = sentence_pairs(mentions).unionByName(near_pairs(mentions, protocol.relation_distance))
-    points = evidence_points(F.col("evidence"), protocol.cues, F.col("unusual"))
-    scored = pairs.withColumn("unusual", is_unusual(F.col("evidence"))).withColumn(
-        "confidence_score", (F.col("base_score") + points).cast("int")
-    )
-    return (
-        scored.groupBy(*PAIR)
-        .agg(
-            F.max_by(
-                F.struct("confidence_score", "section", "evidence", "article_kind"),
-                F.struct(F.col("confidence_score"), -F.col("mention_idx_a"), -F.col("mention_idx_b")),
-            ).alias("best")
-        )
-        .select(*PAIR, "best.*")
-    )
+    pairs = sentence_pairs(mentions).unionByName(near_pairs(mentions))
+    best = pairs.groupBy(*PAIR).agg(
+        F.max_by(
+            F.struct("confidence_score", "section", "begin", "end", "article_kind"),
+            F.struct(F.col("confidence_score"), -F.col("mention_idx_a"), -F.col("mention_idx_b")),
+        ).alias("best")
+    ).select(*PAIR, "best.*").withColumn("no", F.floor(F.col("begin") / BLOCK).cast("int"))
+    blocks = mentions.where("quotable IS NOT NULL").select("article_id", F.explode("quotable").alias("b")).select("article_id", "b.no", F.col("b.text").alias("block"))
+    quotation = squash(cut(F.col("block"), F.col("begin") - F.col("no") * BLOCK, F.col("end") - F.col("no") * BLOCK))
+    return best.join(blocks, ["article_id", "no"]).select(*PAIR, "confidence_score", "section", quotation.alias("evidence"), "article_kind")
 
 
 def term_lookup(protocol: Protocol, slot: str, key: Column) -> Column:
@@ -171,7 +132,7 @@ def term_lookup(protocol: Protocol, slot: str, key: Column) -> Column:
 
 def build_relations(mentions: DataFrame, summaries: DataFrame, protocol: Protocol) -> DataFrame:
     """One row per (article, A entity, B entity) backed by a quotation."""
-    best = best_pairs(mentions, protocol)
+    best = best_pairs(mentions)
     context = summaries.where("entity_type = 'a'").select(
         "article_id", F.col("entity_id").alias("entity_a_id"), "study_context"
     )

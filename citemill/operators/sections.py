@@ -1,4 +1,4 @@
-"""Section spans of an article, and the section a position falls in.
+"""Section spans of an article, and the section of a match by the rank that the scan gave it.
 
 All rules work on the header array inside the article's own row: no shuffle.
 """
@@ -73,10 +73,9 @@ def with_sections(articles: DataFrame, headers: dict[str, list[str]]) -> DataFra
     )
 
 
-def section_at(spans: Column, position: Column) -> Column:
-    """Name of the last span that starts at or before ``position``; else ``other``."""
-    opened = F.filter(spans, lambda s: s["start"] <= position)
-    return F.when(F.size(opened) > 0, F.element_at(opened, -1)["name"]).otherwise("other")
+def section_of(spans: Column, rank: Column) -> Column:
+    """Name of the span of that number, counted from 1; ``other`` before the first."""
+    return F.when(rank > 0, F.get(spans, rank - 1)["name"]).otherwise("other")
 
 
 def section_table(articles: DataFrame, headers: dict[str, list[str]]) -> DataFrame:

@@ -9,17 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citemill import fixed
-from citemill.config import Term
+from citemill.config import Limits, Term
 from citemill.functions import text as tx
 from citemill.functions.labels import lookup, yes_no
 from citemill.functions.regex import matches_any
-from citemill.operators.groups import exact_median
+from citemill.operators.groups import exact_median, top_rows
 from citemill.operators.mentions import explode_spans, with_fragment
-from citemill.operators.scan import find_headers
+from citemill.operators.metadata import guess_title_context, opening_of
+from citemill.operators.scan import find_headers, find_terms
 
 RADIUS = 220
 INFORMATIVE = ("title_abstract", "methods", "results", "discussion", "conclusion")
@@ -35,16 +35,25 @@ class ContextProtocol:
     headers: dict[str, list[str]] = field(default_factory=lambda: dict(fixed.CONTEXT_SECTION_HEADERS))
     weights: dict[str, int] = field(default_factory=lambda: dict(fixed.CONTEXT_SECTION_WEIGHTS))
     cues: dict[str, list[str]] = field(default_factory=lambda: dict(fixed.CONTEXT_CUES))
+    limits: Limits = Limits()
 
 
-def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str, list[str]]) -> Column:
+def describe_articles(raw: DataFrame, protocol: ContextProtocol) -> DataFrame:
+    """Title and kind of ``raw`` (article_id, source_path, text, pages, embedded_title, metadata), as far into the text as ``protocol.limits`` say."""
+    text, limits = F.col("text"), protocol.limits
+    titled = raw.withColumn("title", guess_title_context(text, F.col("embedded_title"), F.col("metadata"), limits.context_title_lines))
+    study = tx.squash(F.element_at("metadata", F.lit(fixed.STUDY_TYPE_KEY)))
+    return titled.withColumn("article_kind", article_kind(F.col("title"), study, text, protocol.cues, limits.context_kind_chars))
+
+
+def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str, list[str]], chars: int | None = Limits().context_kind_chars) -> Column:
     metadata = F.concat_ws(" ", title, study_type)
     return (
         F.when(matches_any(metadata, cues.get("review", [])), "revision_o_sintesis")
         .when(matches_any(metadata, cues.get("epidemiology", [])), "epidemiologico_observacional")
         .when(
             matches_any(metadata, cues.get("preclinical_metadata", []))
-            | matches_any(F.substring(text, 1, 1200), cues.get("preclinical_text", [])),
+            | matches_any(opening_of(text, chars), cues.get("preclinical_text", [])),
             "preclinico_experimental",
         )
         .otherwise("no_determinado")
@@ -68,17 +77,10 @@ def with_markers(articles: DataFrame, headers: dict[str, list[str]]) -> DataFram
     ).drop("headers")
 
 
-def section_at(markers: Column, position: Column, length: Column) -> Column:
-    """The opening of an article always counts as title and abstract."""
+def section_of(markers: Column, rank: Column, position: Column, length: Column) -> Column:
+    """Section of the marker of that number, counted from 1. The opening of an article always counts as title and abstract."""
     opening = F.least(F.lit(3500), F.greatest(F.lit(1200), F.floor(length * 0.04)))
-    opened = F.filter(markers, lambda m: m["start"] <= position)
-    return F.when(position < opening, "title_abstract").when(
-        F.size(opened) > 0, F.element_at(opened, -1)["name"]
-    ).otherwise("other")
-
-
-def page_at(page_starts: Column, position: Column) -> Column:
-    return F.greatest(F.lit(1), F.size(F.filter(page_starts, lambda p: p <= position)))
+    return F.when(position < opening, "title_abstract").when(rank > 0, F.get(markers, rank - 1)["name"]).otherwise("other")
 
 
 def mention_score(weights: dict[str, int]) -> Column:
@@ -93,13 +95,13 @@ def find_mentions(articles: DataFrame, protocol: ContextProtocol) -> DataFrame:
 
     ``articles`` has article_id, source_path, title, text, page_starts and article_kind.
     """
-    source = with_markers(
-        articles.select("article_id", "source_path", "title", "article_kind", "page_starts", "text"), protocol.headers
-    )
-    hits = explode_spans(source, protocol.terms, keep_overlaps=True).select("*", "hit.*")
+    source = articles.select("article_id", "source_path", "title", "article_kind", "page_starts", "text")
+    found = source.withColumn("hits", find_terms(F.col("text"), protocol.terms, keep_overlaps=True, page_starts=F.col("page_starts")))
+    starts = F.transform("markers", lambda m: m["start"])
+    hits = explode_spans(with_markers(found, protocol.headers), starts)
     hits = with_fragment(
-        hits.withColumn("section", section_at(F.col("markers"), F.col("start"), F.col("text_chars")))
-        .withColumn("page", page_at(F.col("page_starts"), F.col("start"))),
+        hits.withColumn("section", section_of(F.col("markers"), F.col("section_no"), F.col("start"), F.col("text_chars")))
+        .withColumn("page", F.greatest(F.lit(1), F.col("page_no"))),
         RADIUS, RADIUS,
     )
     names = F.array(*[
@@ -152,18 +154,18 @@ def summarize(mentions: DataFrame, max_contexts: int = 3) -> DataFrame:
     """One row per (article, contaminant) with class, counts and best contexts."""
     key = ["article_id", "contaminant"]
     place = F.when(F.col("section").isin(*CENTRAL), 0).otherwise(1)
-    w = W.partitionBy(*key).orderBy(
-        place, F.col("exposure_cue").desc(), F.col("dose_cue").desc(), "page", "nth"
-    )
+    order = [place, F.col("exposure_cue").desc(), F.col("dose_cue").desc(), "page", "nth"]
     quote = F.concat(F.lit("p."), F.col("page"), F.lit(" ["), F.col("section"), F.lit("] "), F.col("context"))
     names = list(dict.fromkeys([*fixed.CONTEXT_SECTION_WEIGHTS]))
-    rows = mentions.withColumn("no", F.row_number().over(w)).groupBy(*key).agg(
+    # counts are partial aggregates without text; contexts are ranked with a limit that holds in each task before the shuffle
+    counts = mentions.groupBy(*key).agg(
         *[F.first(c).alias(c) for c in ("source_path", "title", "article_kind", "family")],
         F.sum("score").alias("score"), F.count("*").alias("n"),
         *[F.count_if(F.col("section") == s).alias(f"n_{s}") for s in names],
         *[F.count_if(f"{c}_cue").alias(f"n_{c}") for c in fixed.CONTEXT_CUE_POINTS],
-        F.collect_list(F.when(F.col("no") <= max_contexts, F.struct("no", quote.alias("q")))).alias("quotes"),
     )
+    best = top_rows(mentions.select(*key, "section", "exposure_cue", "dose_cue", "page", "nth", quote.alias("q")), key, order, max_contexts, "no")
+    rows = counts.join(best.groupBy(*key).agg(F.collect_list(F.struct("no", "q")).alias("quotes")), key)
     label = classify(
         F.col("article_kind"), F.col("n"), F.col("score"), {s: F.col(f"n_{s}") for s in names},
         F.col("n_exposure"), F.col("n_dose"),
@@ -189,25 +191,23 @@ def article_table(summaries: DataFrame, top: int = 8) -> DataFrame:
     group = F.when(F.col("clasificacion") == WORKED, "contaminantes_trabajados").when(
         F.col("clasificacion") == POSSIBLE, "contaminantes_posibles_secundarios"
     ).when(F.col("clasificacion") == REVIEW, "contaminantes_en_revision").otherwise("contaminantes_solo_contexto")
-    ranked = summaries.withColumn("group", group).withColumn(
-        "no",
-        F.row_number().over(W.partitionBy("article_id", "group").orderBy(
-            F.col("score_contextual").desc(), F.col("menciones_totales").desc(), "contaminante")),
-    )
     name = F.concat("contaminante", F.lit(" ("), F.col("familia"), F.lit(")"))
+    grouped = summaries.select("article_id", group.alias("group"), "score_contextual", "menciones_totales", "contaminante", name.alias("t"))
+    best = top_rows(grouped, ["article_id", "group"], [F.col("score_contextual").desc(), F.col("menciones_totales").desc(), "contaminante"], top, "no")
 
     def names(label: str) -> Column:
-        picked = F.collect_list(F.when((F.col("group") == label) & (F.col("no") <= top), F.struct("no", name.alias("t"))))
+        picked = F.collect_list(F.when(F.col("group") == label, F.struct("no", "t")))
         return F.array_join(F.transform(F.array_sort(picked), lambda s: s["t"]), "; ").alias(label)
 
-    return ranked.groupBy("article_id").agg(
+    counts = summaries.groupBy("article_id").agg(
         F.first("title").alias("title"), F.first("article_kind").alias("article_kind"),
-        *[names(g) for g in groups],
         F.count_if(F.col("clasificacion") == WORKED).alias("n_contaminantes_trabajados"),
         F.count_if(F.col("clasificacion") == POSSIBLE).alias("n_contaminantes_posibles"),
         F.count_if(F.col("clasificacion").isin(CONTEXT, REFERENCES_ONLY)).alias("n_contaminantes_contexto"),
         F.sum("menciones_totales").alias("menciones_totales"),
     )
+    return counts.join(best.groupBy("article_id").agg(*[names(g) for g in groups]), "article_id").select(
+        "article_id", "title", "article_kind", *groups, *[c for c in counts.columns if c.startswith("n_")], "menciones_totales")
 
 
 def category_table(summaries: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from citemill import fixed
 from citemill.config import Protocol
 from citemill.functions.labels import counts_to_json, first_filled, role_label, yes_no
 from citemill.functions.text import has_words, squash, word_count
-from citemill.operators.classify import OPENING_CHARS, article_kind, summarize
+from citemill.operators.classify import article_kind, summarize
 from citemill.operators.mentions import find_mentions
-from citemill.operators.metadata import best_metadata, guess_doi, guess_title, guess_year, listed_doi, listed_title, listed_year
+from citemill.operators.metadata import best_metadata, guess_doi, guess_title, guess_year, listed_doi, listed_title, listed_year, opening_of
 from citemill.operators.relations import build_relations
 from citemill.session import store
 
@@ -23,20 +23,20 @@ EXTRACTABLE_WORDS = 50
 def describe_articles(raw: DataFrame, protocol: Protocol) -> DataFrame:
     """Derived article columns.
 
-    ``raw`` has article_id, source_path, text, pages, embedded_title and metadata.
+    ``raw`` has article_id, source_path, text, pages, embedded_title and metadata. ``protocol.limits`` says how far the rules look into a text.
     """
-    text, row = F.col("text"), F.col("metadata")
+    text, row, limits = F.col("text"), F.col("metadata"), protocol.limits
     return (
         raw.select(
             "article_id", "source_path", "text", "pages", "metadata",
-            guess_title(text, F.col("embedded_title"), row).alias("title"),
-            guess_year(text, row).alias("year"),
-            guess_doi(text, row).alias("doi"),
+            guess_title(text, F.col("embedded_title"), row, limits.title_lines).alias("title"),
+            guess_year(text, row, limits.year_chars).alias("year"),
+            guess_doi(text, row, limits.doi_chars).alias("doi"),
             squash(F.element_at(row, F.lit(fixed.STUDY_TYPE_KEY))).alias("metadata_study_type"),
             word_count(text).alias("word_count"),
         )
         .withColumn("text_extractable", has_words(text, EXTRACTABLE_WORDS))
-        .withColumn("article_kind", article_kind(F.col("title"), F.col("metadata_study_type"), text, protocol.cues))
+        .withColumn("article_kind", article_kind(F.col("title"), F.col("metadata_study_type"), text, protocol.cues, limits.kind_chars))
     )
 
 
@@ -69,10 +69,10 @@ def run_review(raw: DataFrame, protocol: Protocol, sources: DataFrame | None = N
     else:
         bare = raw.withColumn("metadata", F.create_map().cast("map<string,string>"))
         described = describe_articles(bare, protocol).withColumn("article_kind", F.lit(None).cast("string"))
-        described = described.withColumn("opening", F.substring("text", 1, OPENING_CHARS))
+        described = described.withColumn("opening", opening_of(F.col("text"), protocol.limits.kind_chars))
         scan = store(find_mentions(described, protocol, (*CARRIED, "opening")), "scan")
         found = scan.where("article IS NOT NULL").select("article.*")
-        articles = store(with_listed(found, best_metadata(raw, sources), protocol), "articles")
+        articles = store(with_listed(found, best_metadata(raw, sources, chars=protocol.limits.metadata_chars), protocol), "articles")
     mentions = scan.where("start IS NOT NULL").drop("article")
     summaries = store(summarize(mentions, protocol, None if sources is None else articles), "summaries")
     relations = store(build_relations(mentions, summaries, protocol), "relations")
@@ -88,7 +88,7 @@ def with_listed(articles: DataFrame, metadata: DataFrame, protocol: Protocol) ->
         .withColumn("year", first_filled(*listed_year(row), F.col("year")))
         .withColumn("doi", F.rtrim(first_filled(*listed_doi(row), F.col("doi")), F.lit(".")))
         .withColumn("metadata_study_type", squash(F.element_at(row, F.lit(fixed.STUDY_TYPE_KEY))))
-        .withColumn("article_kind", article_kind(F.col("title"), F.col("metadata_study_type"), F.col("opening"), protocol.cues))
+        .withColumn("article_kind", article_kind(F.col("title"), F.col("metadata_study_type"), F.col("opening"), protocol.cues, protocol.limits.kind_chars))
         .select(*CARRIED)
     )
 

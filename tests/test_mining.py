@@ -1,5 +1,6 @@
 import itertools
 import random
+import timeit
 import re
 
 import pytest
@@ -10,7 +11,7 @@ from citemill.config import Protocol, Term
 from citemill.operators import scan
 from citemill.operators.classify import summarize
 from citemill.operators.mentions import BLOCK, find_mentions
-from citemill.operators.relations import best_pairs, build_relations, relation_confidence
+from citemill.operators.relations import best_pairs, build_relations, near_pairs, relation_confidence, sentence_pairs
 from citemill.operators.sections import with_sections
 from tests import brute
 
@@ -32,7 +33,7 @@ def test_only_four_characters_fold_to_ascii_letters():
     (r"ars[eé]nico", "nico"), (r"ab{0,2}c", "a"), (r"\d+ppm*", "pp"), (r"cafés", "caf"), (r"\x41rsenic", "arsenic"), (r"[a\]bcde]xy", "xy"),
     (r"\u0042ar\103", "barc"), (r"(?P<x>lead)ing", "ing"), (r"(?i:Z)inc(?:ated)?", "inc")])
 def test_sure_text_is_in_every_match(pattern, sure):
-    assert scan._sure_text(pattern) == sure
+    assert scan._sure_text(pattern)[0] == sure
 
 
 def test_filter_never_hides_a_match_of_random_patterns():
@@ -44,9 +45,32 @@ def test_filter_never_hides_a_match_of_random_patterns():
             continue
         if rng.random() < 0.2:
             pattern += "|" + rng.choice(pieces[:6])
-        sure, text = scan._sure_text(pattern), "".join(rng.choice("aAbB7x. é]") for _ in range(40))
-        if re.search(pattern, text, re.I):
-            assert sure in text.lower(), pattern
+        (sure, lead), text = scan._sure_text(pattern), "".join(rng.choice("aAbB7x. é]") for _ in range(40))
+        for m in re.finditer(pattern, text, re.I):
+            assert sure in m.group().lower(), pattern
+            assert lead is None or not sure or text.lower().startswith(sure, m.start() + lead), pattern
+
+
+def test_automaton_finds_what_single_searches_find():
+    """Many random patterns at once: the same spans as each pattern searched on its own, with literals close together and far apart."""
+    rng = random.Random(8)
+    pieces = ["a", "B", "7", "ab", "x7", r"\b", r"\s", "(?:a|b7)", "a?", "b+", "é", ".", "[ab]", r"(?<=\s)", "(?=b)"]
+    for k in range(60):
+        patterns = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+        matcher = scan.Matcher(patterns)
+        for _ in range(8):
+            text = "".join(rng.choice(("aAbB7x. é]" if k % 2 else "qrstuvw" * 30 + "aAbB7x é") + ("ſ" if k % 7 == 0 else "")) for _ in range(rng.choice([0, 60, 900])))
+            want = {i: found for i, p in enumerate(patterns) if (found := [m.span() for m in re.finditer(p, text, re.I)])}
+            assert matcher.find(text) == want
+
+
+def test_cost_does_not_follow_the_dictionary():
+    """Characters are visited once: 10,000 terms do not take much longer than 182 on the same text, where neither is found."""
+    text = "the quick brown fox jumps over the lazy dog " * 200
+    def timed(n):
+        matcher = scan.Matcher([rf"\bterm{i:05d}z\b" for i in range(n)])
+        return min(timeit.repeat(lambda: matcher.find(text), number=5, repeat=5))
+    assert timed(10_000) < 4 * timed(182)
 
 
 def test_longest_match_wins_and_terms_are_independent(spark, make_articles, protocol):
@@ -79,7 +103,6 @@ def test_mentions_of_random_texts_equal_brute_force(spark, protocol, make_articl
         assert m["context"] == brute.squash(t[max(0, s - 260) : e + 260])
         assert m["sentence"] == brute.sentence(t, s, e)
         assert m["left_text"] == t[max(0, s - 160) : s] and m["right_text"] == t[e : e + 160]
-        assert m["ahead"] == t[s : s + 900]
         assert m["page"] == (min(1, t[:s].count("\f") + 1) if "\f" in t else 1)
         assert m["section"] == next((n for n, b, z in spans[m["article_id"]] if b <= s < z), "other")
         for c in fixed.MENTION_CUES:
@@ -91,7 +114,7 @@ def test_mentions_of_random_texts_equal_brute_force(spark, protocol, make_articl
         assert keys == sorted(keys)
     # relations on the same texts: every pair, brute force
     mentions = find_mentions(articles, protocol)
-    best = {(r["article_id"], r["entity_a_id"], r["entity_b_id"]): (r["confidence_score"], r["section"], r["evidence"]) for r in rows(best_pairs(mentions, protocol))}
+    best = {(r["article_id"], r["entity_a_id"], r["entity_b_id"]): (r["confidence_score"], r["section"], r["evidence"]) for r in rows(best_pairs(mentions))}
     want = {}
     for i, t in texts:
         own = sorted((m for m in found if m["article_id"] == i), key=lambda m: m["mention_idx"])
@@ -248,14 +271,23 @@ def test_one_article_with_most_mentions(spark, make_articles, protocol):
     hot = "Zinc was linked to stroke. " * 400 + "Mercury rose after epilepsy may come. " * 300
     articles = make_articles([("hot", hot), *[(f"s{i}", "Zinc and stroke.") for i in range(20)]])
     m = find_mentions(articles, protocol)
-    base = sorted(map(str, rows(best_pairs(m, protocol))))
-    again = sorted(map(str, rows(best_pairs(find_mentions(articles.repartition(7), protocol), protocol))))
+    base = sorted(map(str, rows(best_pairs(m))))
+    again = sorted(map(str, rows(best_pairs(find_mentions(articles.repartition(7), protocol)))))
     assert base == again
     own = sorted((r for r in rows(m) if r["article_id"] == "hot"), key=lambda r: r["mention_idx"])
-    got = {(r["entity_a_id"], r["entity_b_id"]): (r["confidence_score"], r["section"], r["evidence"]) for r in rows(best_pairs(m, protocol)) if r["article_id"] == "hot"}
+    got = {(r["entity_a_id"], r["entity_b_id"]): (r["confidence_score"], r["section"], r["evidence"]) for r in rows(best_pairs(m)) if r["article_id"] == "hot"}
     assert got == brute.best_relations(hot, own[:0] + own, protocol)
 
 
 def test_the_text_scan_runs_once_per_plan(make_articles, protocol):
     plan = find_mentions(make_articles([("x", "zinc")]), protocol)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+    assert sum("(text#" in line for line in plan.splitlines() if "ArrowEvalPython" in line) == 1
+
+
+def test_no_text_is_shuffled_before_the_best_pair(make_articles, protocol):
+    """Exchanges of a relation plan carry no sentence and no text ahead of a mention; quotations come from text blocks, once each."""
+    m = find_mentions(make_articles([("x", "Zinc and stroke.")]), protocol)
+    plan = best_pairs(m)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "ahead" not in plan
+    pairs = sentence_pairs(m).unionByName(near_pairs(m))
+    assert not {n for n, kind in pairs.dtypes if kind == "string"} - {"article_id", "entity_a_id", "entity_b_id", "section", "article_kind"}
