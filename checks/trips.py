@@ -13,9 +13,10 @@ from citemill.operators import scan
 from citemill.config import Term
 from citemill.plans import jobs
 from citemill.session import checkpoint_dir
+from citemill.sinks.lexicons import write_context_lines, write_entity_lines
 from citemill.sinks.tables import write_tables
 from citemill.sources.corpus import discover, read_texts
-from citemill.sources.lexicons import read_context_lexicon, read_lexicon
+from citemill.sources.lexicons import read_context_lines, read_entity_lines
 from citemill.sources.metadata import read_sources
 from citemill.sources.runs import read_run_table
 from citemill.synthetic import PROTOCOL as P
@@ -49,13 +50,13 @@ def escape_pattern_counts(spark, sf):
 
 @trip
 def text_folder(spark, sf):
-    """Nations as text files of a folder."""
+    """Conversations as text files, one each, written by many tasks."""
     at = folder(spark)
-    rows = I.table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("name"), F.concat("n_name", F.lit("\r\nregion "), "n_regionkey").alias("value"))
-    rows.repartition("name").write.partitionBy("name").text(at, lineSep="\n")
+    rows = I.table(spark, sf, "conversations").select(F.concat(F.lit("N"), "conv_id").alias("name"), "turn", F.concat("role", F.lit("\r\n"), "text").alias("value"))
+    rows.repartition("name").sortWithinPartitions("name", "turn").select("name", "value").write.partitionBy("name").text(at, lineSep="\n")
     texts = read_texts(spark, f"{at}/*")
     found = discover(spark, f"{at}/*").select("source_path")
-    return texts.join(found, "source_path").select(F.md5("text").alias("text_md5"), "pages")
+    return texts.join(found, "source_path").select(F.regexp_extract("source_path", "name=N([0-9]+)/", 1).alias("conv_id"), F.md5("text").alias("text_md5"), "pages")
 
 
 @trip
@@ -71,23 +72,26 @@ def csv_metadata_rows(spark, sf):
         F.coalesce(F.element_at("row", F.lit("Note")), F.lit("")).alias("note"))
 
 
+def _parts(spark, sf, category: str) -> DataFrame:
+    """``part`` as a dictionary."""
+    return I.table(spark, sf, "part").select(
+        F.concat(F.lit("p"), "p_partkey").alias("entity_id"), F.col("p_name").alias("label_es"), F.lit("").alias("label_en"), F.col(category).alias("category"),
+        (F.col("p_partkey") % 2 == 0).alias("generic"), F.array("p_name").alias("patterns"), F.format_string("%012d", "p_partkey").alias("position"))
+
+
 @trip
 def lexicon_file(spark, sf):
-    """Parts as a flat dictionary file."""
-    at = folder(spark)
-    entity = F.struct(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("label_es"), F.col("p_brand").alias("category"), F.array("p_name").alias("patterns"))
-    ordered = I.table(spark, sf, "part").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
-    ordered.coalesce(1).write.json(at)
-    return read_lexicon(spark, at, "a").select("entity_type", "entity_id", "label_es", "category", F.get("patterns", F.lit(0)).alias("pattern"))
+    """Parts as a dictionary of JSON lines in several files, and the place of each entity over all of them."""
+    at = write_entity_lines(_parts(spark, sf, "p_brand"), folder(spark))
+    return read_entity_lines(spark, at, "a").select(
+        "entity_type", "entity_id", "label_es", "category", F.get("patterns", F.lit(0)).alias("pattern"), F.substring("position", 2, 12).cast("long").alias("place"))
 
 
 @trip
 def context_lexicon_file(spark, sf):
-    """Parts as the dictionary file of the single-variable classifier."""
-    at = folder(spark)
-    term = F.struct(F.col("p_name").alias("canonico"), F.col("p_type").alias("familia"), F.array("p_name").alias("patrones"), (F.col("p_partkey") % 2 == 0).alias("generico"))
-    I.table(spark, sf, "part").agg(F.array_sort(F.collect_list(term)).alias("contaminantes")).coalesce(1).write.json(at)
-    return read_context_lexicon(spark, at).select("entity_id", "category", "generic")
+    """Parts as the dictionary of the single-variable classifier, in several files."""
+    at = write_context_lines(_parts(spark, sf, "p_type").withColumn("entity_id", F.col("label_es")), folder(spark))
+    return read_context_lines(spark, at).select("entity_id", "category", "generic", F.substring("position", 2, 12).cast("long").alias("place"))
 
 
 @trip
@@ -182,11 +186,11 @@ _texts = lambda names: ", ".join(f"coalesce({n}, '') AS {n}" for n in names.spli
 TRIP_SQL = {
     "escape_pattern_counts": "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT CAST(doc_id AS VARCHAR) AS article_id, '{k}' AS term, len(regexp_extract_all(text, '{p}', 0, 'i')) AS n FROM documents" for k, p in _PLAIN.items()) + ") WHERE n > 0",
-    "text_folder": "SELECT md5(n_name || chr(10) || 'region ' || n_regionkey || chr(10)) AS text_md5, 1 AS pages FROM nation",
+    "text_folder": "SELECT conv_id::VARCHAR AS conv_id, md5(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS text_md5, 1 AS pages FROM conversations GROUP BY conv_id",
     "csv_metadata_rows": """SELECT 0 AS source_ord, 'S' || s_suppkey AS article_id, s_name AS title, 'quote " and, comma' AS note FROM supplier
  UNION ALL SELECT 1, 'S' || (c_custkey % 50), max(c_name), '' FROM customer GROUP BY c_custkey % 50""",
-    "lexicon_file": "SELECT 'a' AS entity_type, 'p' || p_partkey AS entity_id, p_name AS label_es, p_brand AS category, p_name AS pattern FROM part",
-    "context_lexicon_file": "SELECT p_name AS entity_id, p_type AS category, p_partkey % 2 = 0 AS generic FROM part",
+    "lexicon_file": "SELECT 'a' AS entity_type, 'p' || p_partkey AS entity_id, p_name AS label_es, p_brand AS category, p_name AS pattern, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part",
+    "context_lexicon_file": "SELECT p_name AS entity_id, p_type AS category, p_partkey % 2 = 0 AS generic, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part",
     "core_csv_articles": sql(f"SELECT {_texts('article_id title year doi article_kind')}, {yes('word_count >= 50')} AS text_extractable FROM art", "art"),
     "core_csv_relations": _of("relations", _texts("article_id entity_a_label entity_a_category entity_b_label entity_b_category association confidence section")),
     "core_csv_summaries": _of("entity_summary", _texts("article_id entity_type entity_id label_es label_en category role confidence") + ", n_mentions"),

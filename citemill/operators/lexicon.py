@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from citemill.functions.labels import first_filled
 from citemill.functions.regex import is_unusual, matches_any
-from citemill.session import store
+from citemill.session import discard, store
 
 # ship these helpers with the job: executors need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,36 +28,49 @@ NODE = (
 )
 
 
-def flatten_taxonomy(nodes: DataFrame, root_label: str, slot: str, full_path: bool = True) -> DataFrame:
-    """Terms with their category path, one self-join per level, to any depth.
-
-    A node id that repeats on its own path raises ``ValueError``.
+def category_paths(nodes: DataFrame) -> DataFrame:
+    """(node_id, path): the labels from the root to each category that hangs on a root, by pointer doubling.
 
-    Unlabelled categories add no level; with ``full_path=False`` only the nearest
-    labelled ancestor is kept. Terms without a label or pattern are dropped.
+    Every category starts with a pointer to its parent and its own label. In a round it takes over the pointer of the category it points to and
+    puts that one's labels in front of its own, so reach doubles: a tree of depth d takes log2(d) + 1 rounds, each one join of two written
+    tables. Unlabelled categories add no label; categories below a missing parent drop out. The ids passed are kept: one that comes back on its own path is a
+    cycle, which raises ``ValueError`` if a root leads to it.
     """
     label = first_filled(F.col("label_es"), F.col("label_en"))
+    none = F.array().cast("array<string>")
+    categories = nodes.where("kind = 'category'").select(
+        "node_id", F.col("parent_id").alias("up"), F.when(label != "", F.array(label)).otherwise(none).alias("path"), none.alias("above"))
+    state = store(categories, "paths")
+    while True:
+        ahead = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"), F.col("above").alias("passed"))
+        moved = state.where("up IS NOT NULL").join(ahead, "up").select(
+            "node_id", F.col("next").alias("up"), F.concat("front", "path").alias("path"), F.concat("passed", F.array("up"), "above").alias("above"))
+        grown = store(state.where("up IS NULL").unionByName(moved), "paths")
+        again = F.array_contains("above", F.col("node_id")) | (F.size(F.array_distinct("above")) < F.size("above"))
+        done, state = grown.where("up IS NULL"), store(grown.where(~again), "paths")
+        looped = grown.where(F.array_contains("above", F.col("node_id"))).select("node_id").distinct()
+        back = looped.join(done.select("node_id").distinct(), "node_id").agg(F.max("node_id")).first()[0]
+        if back is not None:
+            raise ValueError(f"taxonomy node {back} is its own ancestor")
+        discard(grown)
+        if state.where("up IS NOT NULL").isEmpty():
+            return state.select("node_id", "path")
+
 
-    def extend(path: Column) -> Column:
-        grown = F.concat(path, F.array(label)) if full_path else F.array(label)
-        return F.when((F.col("kind") == "category") & (label != ""), grown).otherwise(path)
+def flatten_taxonomy(nodes: DataFrame, root_label: str, slot: str, full_path: bool = True) -> DataFrame:
+    """Terms with their category path, to any depth (see ``category_paths``).
 
+    With ``full_path=False`` only the nearest labelled ancestor is kept. Terms without a label or pattern are dropped.
+    """
+    label = first_filled(F.col("label_es"), F.col("label_en"))
+    usable = nodes.where(F.col("kind") == "term").where(
+        (label != "") & (F.size(F.coalesce("patterns", F.array().cast("array<string>"))) > 0))
+    paths = category_paths(nodes).withColumnRenamed("node_id", "parent_id")
     no_names = F.array().cast("array<string>")
-    level = nodes.where(F.col("parent_id").isNull()).withColumn("path", extend(no_names)).withColumn("above", no_names)
-    terms = level.where("kind = 'term'")
-    while True:
-        parents = level.where("kind = 'category'").select(
-            F.col("node_id").alias("parent_id"), "path", F.array_append("above", F.col("node_id")).alias("above"))
-        level = store(nodes.join(parents, "parent_id").withColumn("path", extend(F.col("path"))), "level")
-        found = level.agg(F.count("*").alias("n"), F.max(F.when(F.array_contains("above", F.col("node_id")), F.col("node_id"))).alias("again")).first()
-        if found["again"] is not None:
-            raise ValueError(f"taxonomy node {found['again']} is its own ancestor")
-        if not found["n"]:
-            break
-        terms = terms.unionByName(level.where("kind = 'term'"))
-    usable = terms.where((label != "") & (F.size(F.coalesce("patterns", F.array().cast("array<string>"))) > 0))
-    category = F.when(F.size("path") > 0, F.array_join("path", SEPARATOR)).otherwise(root_label)
-    return usable.select(
+    terms = usable.where("parent_id IS NULL").withColumn("path", no_names).unionByName(usable.join(paths, "parent_id").select(*usable.columns, "path"))
+    named = F.col("path") if full_path else F.slice("path", F.greatest(F.size("path"), F.lit(1)), F.lit(1))
+    category = F.when(F.size("path") > 0, F.array_join(named, SEPARATOR)).otherwise(root_label)
+    return terms.select(
         F.lit(slot).alias("entity_type"),
         first_filled(F.col("entity_id"), F.lower("label_es"), F.lower("label_en")).alias("entity_id"),
         "label_es", "label_en", category.alias("category"), F.coalesce("generic", F.lit(False)).alias("generic"),
