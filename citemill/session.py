@@ -54,11 +54,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*stored: DataFrame) -> None:
-    """Delete stage tables once everything read from them has been written itself."""
-    from citemill.sources.files import delete
+    """Delete stage tables once everything read from them has been written itself.
+
+    A collection of the driver's heap follows: Spark deletes shuffle files only when the plans that wrote them are
+    collected, which on a large driver may be long after a job.
+    """
+    from citemill.sources.files import collect_garbage, delete
 
     for df in stored:
         delete(df.sparkSession, df.stage_path)
+    if stored:
+        collect_garbage(stored[0].sparkSession)
 
 
 def dealt(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,8 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds; nothing if it is not there."""
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
