@@ -146,6 +146,60 @@ def test_taxonomy_of_any_depth_and_cycles(spark):
         flatten_taxonomy(spark.createDataFrame(again, NODE), "V", "a")
 
 
+def test_taxonomy_rounds_follow_the_logarithm_of_the_depth(spark, monkeypatch):
+    """A chain of 300 categories takes ten rounds at most; a cycle that no root reaches drops out; one below the root raises."""
+    from citemill.operators import lexicon
+
+    rounds, store = [], lexicon.store
+    monkeypatch.setattr(lexicon, "store", lambda df, name: rounds.append(name) or store(df, name))
+    rows = [(f"c{i}", f"c{i - 1}" if i else None, f"{i:04d}", "category", None, f"L{i}" if i % 2 else "", "", False, []) for i in range(300)]
+    rows += [("t", "c299", "x", "term", "t", "Deep", "", False, ["deep"]), ("lost", "nowhere", "y", "term", "l", "Lost", "", False, ["lost"])]
+    rows += [("x1", "x2", "z", "category", None, "X1", "", False, []), ("x2", "x1", "z", "category", None, "X2", "", False, []), ("xt", "x1", "z", "term", "xt", "In a loop", "", False, ["x"])]
+    df = spark.createDataFrame(rows, lexicon.NODE)
+    got = lexicon.flatten_taxonomy(df, "V", "a").collect()
+    assert [(r["entity_id"], r["category"]) for r in got] == [("t", " > ".join(f"L{i}" for i in range(1, 300, 2)))]
+    assert len(rounds) <= 2 * 10 + 1
+    assert [r["category"] for r in lexicon.flatten_taxonomy(df, "V", "a", full_path=False).collect()] == ["L299"]
+
+
+def test_dictionary_lines_in_many_files(spark, tmp_path):
+    """Order over all files by prefix sums over their parts; what has no label or pattern is left out and leaves a gap."""
+    from citemill.sinks.lexicons import write_context_lines, write_entity_lines
+    from citemill.sources.lexicons import read_context_lines, read_entity_lines
+
+    rows = [(f"e{i:03d}", "" if i % 50 == 7 else f"name {i}", "", "C", i % 2 == 0, [] if i % 40 == 3 else [f"p{i}"], f"{i:06d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "entity_id string, label_es string, label_en string, category string, generic boolean, patterns array<string>, position string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_entity_lines(df, str(tmp_path / "lines"))
+        write_context_lines(df, str(tmp_path / "context"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "lines").glob("part-*"))) > 1
+    got = [(r["entity_id"], int(r["position"][1:])) for r in read_entity_lines(spark, str(tmp_path / "lines"), "a").orderBy("position").collect()]
+    assert got == [(e, i) for i, (e, es, _, _, _, ps, _) in enumerate(rows) if es and ps]
+    single = read_context_lines(spark, str(tmp_path / "context")).orderBy("position").collect()
+    assert [(r["entity_id"], r["generic"]) for r in single] == [(r[0], r[4]) for r in rows]
+
+
+def test_limits_can_be_lifted_from_the_job(spark, protocol):
+    """Years, DOIs, kinds and titles far inside a text count only without a limit."""
+    from dataclasses import replace
+
+    from citemill.config import Limits
+    from citemill.plans import context
+    from citemill.plans.review import describe_articles
+
+    text = "x" * 11_000 + " 1999 doi 10.1234/abc systematic review"
+    raw = spark.createDataFrame([("a", text)], "article_id string, text string").selectExpr(
+        "article_id", "'f' AS source_path", "text", "1 AS pages", "'' AS embedded_title", "CAST(map() AS map<string,string>) AS metadata")
+    near, far = (describe_articles(raw, p).first() for p in (protocol, replace(protocol, limits=Limits(*[None] * 7))))
+    assert (near["year"], near["doi"], near["article_kind"]) == ("", "", "unclear")
+    assert (far["year"], far["doi"], far["article_kind"]) == ("1999", "10.1234/abc", "review_or_synthesis")
+    kinds = [context.describe_articles(raw, context.ContextProtocol((), cues={"preclinical_text": [r"\breview\b"]}, limits=x)).first()["article_kind"] for x in (Limits(), Limits(context_kind_chars=None))]
+    assert kinds == ["no_determinado", "preclinico_experimental"]
+
+
 def test_labels_are_reached_in_the_dialect_of_the_scan(spark):
     from citemill.operators.lexicon import unreachable_labels
 
