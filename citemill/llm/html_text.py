@@ -2,7 +2,8 @@
 
 A page becomes a tree of elements. Scripts, styles, forms, navigation, page headers and footers, asides and
 elements whose role, class or id names a menu, sidebar, notice, advert or reader comments are taken
-out, as are blocks that are lists of links. For each element left, the density is
+out, as are blocks that are lists of links. Inside ``article`` and ``main`` a name counts only if all words of a class or id are
+such names and not one that text has too (``id="discussion"``), and lists of links stay. For each element left, the density is
 
     C / T * log(C / LC * T / LT) / log(ln(C / nLC * LC + LCb / Cb * C + e))
 
@@ -52,34 +53,37 @@ OUT_NAMES = frozenset(
     "popular share sharing social follow menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments commentlist reply replies respond disqus discussion "
     "footer footnav colophon copyright cookie cookies consent gdpr notice notices notification banner alert popup modal overlay toast newsletter subscribe subscription signup login "
     "paywall disclaimer masthead topbar toolbar".split())
+#: Of these the ones that name parts of a text as well; inside an article they decide nothing on their own.
+TEXT_NAMES = frozenset(
+    "related recommended recommendations trending popular follow replies respond discussion copyright consent notice notices alert disclaimer footer aside promotion sharing overlay pager toast".split())
 KEPT = frozenset({"html", "body", "article", "main"})
 ARTICLE_NAMES = frozenset({"article", "post", "entry", "content", "story"})
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "sum", "density", "holds")
+    __slots__ = ("tag", "tokens", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "sum", "density", "holds", "within")
 
-    def __init__(self, tag: str, names: frozenset[str] = frozenset(), parent: Node | None = None, out: bool = False):
-        self.tag, self.names, self.parent, self.children, self.out = tag, names, parent, [], out
+    def __init__(self, tag: str, tokens: tuple[frozenset[str], ...] = (), parent: Node | None = None, out: bool = False):
+        self.tag, self.tokens, self.parent, self.children, self.out, self.within = tag, tokens, parent, [], out, False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.sum = self.density = 0.0
         self.holds = False
 
 
-def _attributes(written: str) -> tuple[frozenset[str], bool]:
-    """Name parts of class and id, and whether the element is hidden or has the role of a page frame."""
-    names, out = set(), False
+def _attributes(written: str) -> tuple[tuple[frozenset[str], ...], bool]:
+    """The words of each class and of the id, and whether the element is hidden or has the role of a page frame."""
+    tokens, out = [], False
     for m in _ATTRIBUTE.finditer(written):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
-            names.update(_NAME.findall(value))
+            tokens += [frozenset(words) for token in value.split() if (words := _NAME.findall(token))]
         elif key == "role":
             out = out or value in OUT_ROLES
         elif key == "style":
             out = out or "display:none" in value.replace(" ", "")
         else:
             out = out or (key == "hidden" and written[m.start() - 1 : m.start()].isspace()) or (key == "aria-hidden" and value == "true")
-    return frozenset(names), out
+    return tuple(tokens), out
 
 
 def parse(html: str) -> list[Node]:
@@ -110,8 +114,8 @@ def parse(html: str) -> list[Node]:
         if tag in GROUPS:
             _close(stack, *GROUPS[tag])
         written = m[3] if m[2] else m[6]
-        names, out = _attributes(written) if "=" in written or "hidden" in written else (frozenset(), False)
-        node = Node(tag, names, stack[-1], out)
+        tokens, out = _attributes(written) if "=" in written or "hidden" in written else ((), False)
+        node = Node(tag, tokens, stack[-1], out)
         stack[-1].children.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -143,16 +147,19 @@ def _prune(nodes: list[Node]) -> None:
     for n in reversed(nodes):
         if n.parent is not None and (n.holds or n.tag in ("article", "main", "h1")):
             n.parent.holds = True
-    inside = {}
     for n in nodes:
         up = n.parent
-        within = inside[id(n)] = n.tag in ("article", "main") or bool(up is not None and inside.get(id(up)))
+        inside = up is not None and up.within
+        n.within = inside or n.tag in ("article", "main")
         n.out = n.out or bool(up is not None and up.out) or n.tag in OUT_TAGS
         if n.out or n.tag in KEPT:
             continue
-        if n.tag == "header" or "header" in n.names:
-            n.out = not within and not n.holds and not n.names & ARTICLE_NAMES
-        if n.names & OUT_NAMES:
+        names = frozenset().union(*n.tokens)
+        if n.tag == "header" or "header" in names:
+            n.out = not n.within and not n.holds and not names & ARTICLE_NAMES
+        if inside:
+            n.out = n.out or any(t <= OUT_NAMES and not t <= TEXT_NAMES for t in n.tokens) and not n.holds
+        elif names & OUT_NAMES:
             n.out = not n.holds
 
 
@@ -166,7 +173,8 @@ def _measure(nodes: list[Node]) -> None:
         if n.tag == "a":
             n.link_chars = n.chars
         many = links.get(id(n), 0)
-        if n.tag in ("ul", "ol", "div", "p", "table", "section", "dl") and many >= 3 and n.link_chars >= 0.6 * n.chars:
+        listed = n.tag in ("ul", "ol", "div", "p", "table", "section", "dl") and not n.within and not n.holds
+        if listed and many >= 3 and n.link_chars >= 0.6 * n.chars:
             n.out = True
             continue
         if n.parent is not None:
