@@ -8,12 +8,11 @@ with over 30 % repeated words.
 *Method*: lines are normalised (A-Z in lower case, runs of blanks as one space, trimmed) and hashed with their
 host; distinct documents are counted for each; lines in more than ``max_docs`` documents of a host are removed
 (all of them); a document that keeps less than ``min_left`` of its word characters is depleted and
-rejected. Exact copies of a text count as one document, so copying a document does not
-make its own prose look like a page frame. Only hashes are shuffled; the counts are partial aggregates, so a line on a third of
+rejected. Only hashes are shuffled; the counts are partial aggregates, so a line on a third of
 all documents is one group of small partial rows.
 
 Defined cases: a null text is empty; it fails the base. A null host is a host of its own. Rows that share
-doc_id and text count once. Documents without word characters are not depleted (the base rejects them).
+doc_id and text count once, rows with a null doc_id once for each text. Documents without word characters are not depleted (the base rejects them).
 """
 
 from __future__ import annotations
@@ -90,7 +89,7 @@ def common_lines(documents: DataFrame, host: str = "source", max_docs: int = MAX
         "doc_id", "text_hash", "pos", F.length(F.replace("line", F.lit(" "))).alias("chars"),
         F.xxhash64(F.col("host").isNull(), "host", "line").alias("line_hash"))
     hashed = store(hashed, "host-lines")
-    once = hashed.groupBy("line_hash", "text_hash").agg(F.lit(1).alias("one"))
+    once = hashed.groupBy("line_hash", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
     common = once.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
     # a written table: of known size, and the join can then split a hot line
     return hashed.join(store(common, "host-common-lines"), "line_hash").select("doc_id", "text_hash", "pos", "chars").distinct()

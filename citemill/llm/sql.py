@@ -84,7 +84,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROU
 l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM w),
 n AS (SELECT *, trim(regexp_replace({_LOWER.format("line")}, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM l),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n WHERE norm <> '' GROUP BY doc_id),
-often AS (SELECT source, norm FROM n WHERE norm <> '' GROUP BY source, norm HAVING count(DISTINCT text) > {MAX_DOCS}),
+often AS (SELECT source, norm FROM n WHERE norm <> '' GROUP BY source, norm HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
 gone AS (SELECT n.doc_id, sum(length(replace(n.norm, ' ', ''))) AS chars FROM n JOIN often o ON n.norm = o.norm AND n.source IS NOT DISTINCT FROM o.source GROUP BY n.doc_id),
 b AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.chars, 0) AS gone

@@ -122,5 +122,5 @@ def test_frame_lines_are_counted_by_host_and_text(spark):
     assert all(got[10 + i] == (False, False, True) for i in range(3))  # depleted
     assert got[20] == got[21] == (False, True, False)  # another host
     assert got[30] == got[31] == (True, False, False)
-    assert all(got[40 + i] == (False, True, False) for i in range(9))  # copies are one document
+    assert all(got[40 + i] == (False, False, True) for i in range(9))  # so are copies: each is a document
     assert line_quality.judge(spark.createDataFrame([], DOCS)).collect() == []
