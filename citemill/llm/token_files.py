@@ -133,7 +133,8 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, vocabulary: int
     docs = documents.select("doc_id", text_of().cast("binary").alias("text"), F.xxhash64(text_of()).alias("hash"))
     dealt = docs.repartitionByRange(*([shards] if shards else []), *order).sortWithinPartitions(*order)
     rows = dealt.select("doc_id", "text").mapInArrow(encode, "kind string, seq bigint, value binary").sortWithinPartitions("kind", "seq")
-    rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("lineSep", end.decode("latin-1")).text(folder)
+    rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option(
+        "encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(folder)  # the separator's bytes as they are
 
 
 def files_of(spark: SparkSession, folder: str, vocabulary: int) -> DataFrame:

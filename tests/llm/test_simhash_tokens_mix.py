@@ -133,6 +133,18 @@ def test_token_files_of_nothing(spark, tokenizer):
     assert token_files.read_documents(spark, folder, 50_257).collect() == []
 
 
+@pytest.mark.parametrize("end_id, vocabulary", [(0, 50_257), (10, 50_257), (127, 50_257), (128, 50_257), (255, 50_257), (50_256, 50_257), (199, 100_000), (99_999, 100_000)])
+def test_end_ids_of_any_value(spark, tokenizer, end_id, vocabulary):
+    """Files of 2 and 4 bytes an id come back whole, whatever bytes the end id has."""
+    path, library = tokenizer
+    folder = f"{checkpoint_dir(spark)}/token-test-{uuid.uuid4().hex}"
+    rows = [(1, "one two three"), (2, ""), (3, "four\nfive")]
+    token_files.write_ids(spark.createDataFrame(rows, "doc_id bigint, text string"), folder, path, vocabulary, end_id)
+    ids = [[*library.encode(t, add_special_tokens=False).ids, end_id] for _, t in rows]
+    got = [tuple(r)[2:] for r in token_files.read_documents(spark, folder, vocabulary).orderBy("start").collect()]
+    assert got == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids]
+
+
 def brute_share(budget, children):
     """children: label -> (weight, capacity); exact shares by repeated filling."""
     given, left = {}, dict(children)
