@@ -86,6 +86,88 @@ def test_fitted_tags_reproduce_labels():
     assert secret_scan.fit([]).weights == {}
 
 
+def base_by_hand(text):
+    """Base spans by walking over the characters, without regular expressions."""
+    low, found = text.translate({c: c + 32 for c in range(65, 91)}), []
+    hexes, upper, value = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+
+    def run(at, of):
+        end = at
+        while end < len(text) and text[end] in of:
+            end += 1
+        return end
+
+    def assign(at):
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(key, at):
+                i = at + len(key)
+                i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+                i = run(i, " ")
+                if text[i : i + 1] not in (":", "="):
+                    return None
+                i = run(i + 1, " ")
+                starts = [i + 1, i] if text[i : i + 1] in ("'", '"') else [i]
+                end = next((e for b in starts if (e := run(b, value)) > b), None)
+                return None if end is None else (end, end - next(b for b in starts if run(b, value) > b))
+        return None
+
+    at = 0
+    while at < len(text):
+        hit = assign(at)
+        if hit and hit[1] >= 6:
+            found.append((at, 0, hit[0]))
+        at = hit[0] if hit else at + 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, upper) if text.startswith("AKIA", at) else at
+        if end > at + 4 and end - at >= 20:
+            found.append((at, 1, end))
+        at = end if end > at + 4 else at + 1
+    at = 0
+    while at < len(text):
+        end = run(at, hexes)
+        if end - at >= 24:
+            found.append((at, 2, end))
+        at = max(end, at + 1)
+    return sorted(found)
+
+
+def test_base_spans_equal_a_walk_over_the_characters():
+    r = random.Random(12)
+    pieces = ["password", "PASSWD", "Secret", "token", "api_key", "apiKey", "=", ":", " ", "\"", "'", "AKIA", "ABCDEFGH12345678", "ab12", "0123456789abcdef0", "é", "x.y-z", "\n", "K", "_", "tokentoken=abcdefg"]
+    for _ in range(4000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(9)))
+        assert secret_scan.base_spans(text) == base_by_hand(text), text
+
+
+HELD_OUT = ["passphrase {mixed}", "AWS_PASSWORD {base36}", "glpat-{base20}", "AccountKey {base44}==", "SECRET_KEY <- {value}", "token {base48} expires", "Authorization: Basic {base28}=", "root password now {mixed}"]
+HARMLESS = ["192.168.{two}.{two}", "2024-01-05T10:00:00Z", "v{two}.{two}.{two}-rc{two}", "https://cdn.{w}.net/{w}.js?v={digits}", "{Camel}{Camel}{Camel}", "{w}-{w}-{w}", "keyboard {w}", "the token {w}", "{w}_{w}_{w}()"]
+
+
+def test_field_finds_forms_it_never_saw():
+    """Precision and recall of the added spans on forms that no fixed pattern and no training phrase has."""
+    r = random.Random(21)
+    assert not set(HELD_OUT) & set(secret_scan.FORMS) and not set(HARMLESS) & set(secret_scan.DECOYS)
+    prose = lambda n: [r.choice(("", "", "", "", "\n")) + "".join(r.choice(["ba", "no", "ti", "er", "su", "lé", "ing"]) for _ in range(r.randrange(1, 5))) + r.choice(["", "", "", ",", "."]) for _ in range(n)]
+    windows = [(f, y) for d in range(300) for _, _, f, y in secret_scan.windows_of(d, " ".join(prose(80)))]
+    tagger = secret_scan.Tagger(secret_scan.fit(windows))
+    right = missed = wrong = 0
+    for d in range(240):
+        words = prose(60)
+        form = r.choice(HELD_OUT if d % 2 else HARMLESS)
+        phrase = secret_scan.Drawn(f"held-out {d}", words).phrase(form)
+        assert not secret_scan.base_spans(phrase)
+        text = " ".join([*words[:30], phrase, *words[30:]])
+        found = [text[a:b] for a, _, b in tagger.spans(text, [])]
+        if d % 2:
+            value = phrase.split()[secret_scan.phrase_tags(form, phrase, True).index(1)]
+            hit = sum(value.startswith(f) and len(f) >= len(value) - 2 for f in found)
+            right, missed, wrong = right + bool(hit), missed + (not hit), wrong + len(found) - hit
+        else:
+            wrong += len(found)
+    assert right >= 0.8 * (right + missed) and right >= 0.8 * (right + wrong), (right, missed, wrong)
+
+
 def brute_items(index, text):
     """Items of which 0.8 of the shingles, and half of the answer's, stand in the text."""
     words = decontamination.words_of(text)
@@ -247,3 +329,19 @@ def test_page_text_equals_a_plain_reading():
         wrap = r.choice(["<article>{}</article>", "<div class='post'>{}</div>", "<main><div>{}</div></main>"])
         page = f"<html><body><nav><ul><li><a href=1>a</a><li><a href=2>b</a></ul></nav><div class='ad'>Buy now</div>{wrap.format(body)}<footer>&copy; x</footer></body></html>"
         assert html_text.main_text(page) == " ".join(blocks)
+
+
+SOURCES = "".join(f'<li><a href="/{i}">Source {i}</a></li>' for i in range(3))
+LINKS = " ".join(f'<a href="/{i}">source number {i}</a>' for i in range(3))
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("inner, text", [
+    (f"<ul>{SOURCES}</ul>", "Source 0 Source 1 Source 2"), (f"<p>{LINKS}</p>", "source number 0 source number 1 source number 2"),
+    ('<section id="discussion"><h2>Discussion</h2><p>We discuss.</p></section>', "Discussion We discuss."), ('<h2 id="related-work">Related work</h2>', "Related work"),
+    ('<p class="popular-science">Stars.</p>', "Stars."), ('<p class="notice">Mind this.</p>', "Mind this."), ('<div class="ad">Buy</div>', ""),
+    ('<div class="comments"><p>First!</p></div>', ""), ('<div class="newsletter-signup">Sign up</div>', ""), ('<aside>Aside</aside>', ""), ('<form>Name</form>', "")])
+def test_text_inside_articles_stays(tag, inner, text):
+    before, after = "The article begins with a long sentence of many words. " * 3, "And it ends with another one of as many words. " * 3
+    page = f"<html><body><nav><ul>{SOURCES}</ul></nav><{tag}><h1>Title</h1><p>{before}</p>{inner}<p>{after}</p></{tag}><div><ul>{SOURCES}</ul></div></body></html>"
+    assert html_text.main_text(page) == " ".join(x for x in ("Title", before.strip(), text, after.strip()) if x)
