@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citemill.session import store
+from citemill.session import discard, store
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     In each round a node hooks to the neighbour, or itself, of least hash, and edges are
     rewritten to the hooks. The hash changes with the round, so that chains shrink by a constant share
     too and the rounds grow with the logarithm of the longest one. Each round is a
-    written table in the shared folder. It ends when no edge is left; there is no cap.
+    written table in the shared folder, deleted when the next one stands. It ends when no edge is left; there is no cap.
     """
     edges = store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels, turn = None, 0
@@ -29,8 +29,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             labels = hook
         else:
             later = hook.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = store(labels.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            old, labels = labels, store(labels.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            discard(old)
         to = lambda c: hook.select(F.col("node").alias(c), F.col("root").alias(f"{c}_to"))
         moved = edges.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
-        edges = store(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        old, edges = edges, store(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        discard(old, *([hook] if labels is not hook else []))
+    discard(edges)
     return labels
