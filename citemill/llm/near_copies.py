@@ -3,18 +3,22 @@
 Words are those of ``simhash``. Every run of ``size`` words is hashed with XXH64 (seed 42); a text with fewer words is one run, a
 text without words the empty set. Texts of one set are one node, whose id is the hash of its sorted run hashes.
 
-Method. No pair is left to chance, as it would be with fingerprints at any radius: two sets of that similarity share
-a run among their first ``n - ceil(0.8 n) + 1`` under any order of all runs. The order puts the runs that a bounded sample of
-texts holds most often last; the sample decides the work, never the result. Candidates are verified by exact counts.
-
-1. *Stars*: nodes of one least run, under 8 mixings, meet the least node of that group: a link for each at most, whatever the
-   group's size. Verified links give first components, so a group of thousands of near copies is mostly one.
-2. *Pairs*: runs of prefixes whose holders lie in one component are left out; the others pair up nodes of different
+Method. First the operator's: SimHash fingerprints of the same runs, tables of distances to reference fingerprints that discard pairs, survivors
+verified. No pair is left to chance, as it would be with fingerprints at any radius: two sets of that similarity share
+a run among their first ``n - ceil(0.8 n) + 1`` under any order of all runs, so what the fingerprints miss is found there. The order puts the
+runs that most texts hold last. All runs are counted, by 32 bits of their hash; the counts decide the work, never the result.
+
+1. *Fingerprints*: nodes of one fingerprint meet one of them, and the links of ``simhash.links`` join their groups.
+2. *Stars*: nodes of one least run and about one size, under 8 mixings, meet a node of that group with the least share of rare runs (the
+   unedited text, if there is one): a link for each at most, whatever the group's size. The links of both steps are verified by exact counts and
+   give first components, so a group of thousands of near copies is mostly one.
+3. *Pairs*: runs of prefixes whose holders lie in one component are left out; the others pair up nodes of different
    components, and pairs whose sizes and places in the prefixes cannot reach the similarity are discarded.
 
 No stage holds a text: candidates are verified from a second scan. Stage tables are deleted when what was read from them is written.
-A run outside the sample's table that very many texts of different components hold in their prefixes still pairs them up (at the
-cost of its holders' number squared); the sample finds runs held by one text in a thousand or more.
+A run in the table of counts that very many texts of different components hold in their prefixes, so texts of hardly any rare run, still
+pairs them up (at the cost of its holders' number squared). Other runs have fewer than ``HOT`` holders while the table holds
+all that have more; it is cut at ``OFTEN`` runs, the most frequent first, which bounds the driver.
 
 Defined cases: runs count as equal when their 64-bit hashes are. Null and empty texts are copies of each other. Repeated rows and rows with a null
 doc_id are copies like others. An empty table has no classes.
@@ -36,23 +40,28 @@ from citemill.llm.components import connected_components
 from citemill.session import discard, store
 
 SIZE, SIMILARITY, SEED, STARS = 5, Fraction(4, 5), 42, 8
-#: Texts of the sample that orders the runs, and runs that it may put last. Both bound the driver's memory only.
-SAMPLE, OFTEN = 4000, 200_000
+#: Runs are put last from so many holders on; the most frequent so many of them, which bounds the driver's memory.
+HOT, OFTEN = 16, 400_000
 #: Bits of the map that thins the second scan (8 MB), and nodes on a side of what a task verifies at once.
 BITS, TILE = 1 << 26, 256
 _MIX = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) | 1 for i in range(STARS)], np.uint64)
 _NODES = "doc_id bigint, text_hash bigint, node bigint"
 
 
-def runs_of(text: bytes, size: int = SIZE) -> np.ndarray:
-    """The sorted distinct hashes of the text's runs."""
+def all_runs(text: bytes, size: int = SIZE) -> np.ndarray:
+    """The hashes of the text's runs in their order, repeats included."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     edges = np.cumsum([0, *(len(w) + 1 for w in words)])
     starts, ends = edges[: max(1, len(words) - size + 1)].tolist(), (edges[size:] - 1).tolist() or [len(joined)]
-    return np.unique(np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+    return np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def runs_of(text: bytes, size: int = SIZE) -> np.ndarray:
+    """The sorted distinct hashes of the text's runs."""
+    return np.unique(all_runs(text, size))
 
 
 def node_of(runs: np.ndarray) -> int:
@@ -63,13 +72,23 @@ def prefix_length(n: int, similarity: Fraction = SIMILARITY) -> int:
     return n - -(-n * similarity.numerator // similarity.denominator) + 1 if n else 0
 
 
-def in_order(runs: np.ndarray, often: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The runs, those of the sample's table last and by its ranks."""
-    if not len(often) or not len(runs):
-        return runs
-    at = np.minimum(np.searchsorted(often, runs), len(often) - 1)
-    rank = np.where(often[at] == runs, ranks[at], 0)
-    return runs[np.lexsort((runs, rank))]
+def count_key(runs: np.ndarray) -> np.ndarray:
+    """The 32 bits by which runs are counted."""
+    return (runs >> np.uint64(32)).astype(np.uint32)
+
+
+def ranks_of(runs: np.ndarray, often: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rank of each run in the table of counts, zero where it is not there."""
+    if not len(often):
+        return np.zeros(len(runs), np.int64)
+    keys = count_key(runs)
+    at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+    return np.where(often[at] == keys, ranks[at], 0)
+
+
+def in_order(runs: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The runs, frequent ones last and by their ranks."""
+    return runs[np.lexsort((runs, rank))] if rank.any() else runs
 
 
 def stars_of(runs: np.ndarray) -> list[int]:
@@ -79,20 +98,20 @@ def stars_of(runs: np.ndarray) -> list[int]:
     return [int(v) for v in ((runs ^ (runs >> np.uint64(29)))[None, :] * _MIX[:, None]).min(axis=1).view(np.int64)]
 
 
-def frequent_runs(texts: DataFrame, size: int, sample: int = SAMPLE, most: int = OFTEN) -> tuple[np.ndarray, np.ndarray]:
-    """(runs, ranks) of the runs in three or more of the sampled texts, the runs ascending."""
+def frequent_runs(texts: DataFrame, size: int, hot: int = HOT, most: int = OFTEN) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ranks) of the runs that ``hot`` or more texts hold, the keys ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in binary_rows(batches, "text"):
-            for text in found:
-                yield pa.RecordBatch.from_arrays([pa.array(runs_of(text, size).view(np.int64))], ["run"])
+            for at in range(0, len(found), 64):
+                keys = np.concatenate([np.unique(count_key(all_runs(t, size))) for t in found[at : at + 64]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int32))], ["run"])
 
-    total = texts.count()
-    some = texts.where(F.pmod("text_hash", F.lit(max(1, total // sample))) == 0).select("text")
-    rows = some.mapInArrow(run, "run bigint").groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "run").limit(most).toArrow()
-    runs, n = rows["run"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(runs)
-    return runs[order], n[order]
+    counts = texts.select("text").mapInArrow(run, "run int").groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot)
+    rows = counts.orderBy(F.desc("n"), "run").limit(most).toArrow()
+    keys, n = rows["run"].to_numpy().view(np.uint32), rows["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
 def reaches(shared: Column, n_a: Column, n_b: Column, similarity: Fraction) -> Column:
@@ -192,31 +211,66 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, size: int, sim
     return found
 
 
-def classes(documents: DataFrame, size: int = SIZE, similarity: Fraction = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text_hash, root) of each row; ``root`` is one node of the component."""
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, key, n_a, n_b) of nodes whose fingerprints are equal or linked by the operator: they span its components."""
+    from citemill.llm.simhash import links  # which builds on this module
+
+    own = store(rows.groupBy("fingerprint").agg(F.min(F.struct("rare", "node", "n")).alias("f"), F.max("node").alias("most"), F.min("node").alias("least")), "fingerprint-nodes")
+    one = F.col("f.node").alias("a"), F.col("node").alias("b"), F.col("fingerprint").alias("key"), F.col("f.n").alias("n_a"), F.col("n").alias("n_b")
+    equal = rows.select("fingerprint", "node", "n").join(own.where("most <> least"), "fingerprint").where("node <> f.node").select(*one)
+    side = lambda c: own.select(F.col("fingerprint").alias(f"p_{c}"), F.col("f.node").alias(c), F.col("f.n").alias(f"n_{c}"))
+    linked = links(own.select("fingerprint")).select(F.col("a").alias("p_a"), F.col("b").alias("p_b")).distinct()
+    found = store(equal.unionByName(linked.join(side("a"), "p_a").join(side("b"), "p_b").select("a", "b", F.col("p_a").alias("key"), "n_a", "n_b")), "fingerprint-pairs")
+    discard(own)
+    return found
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, key, n_a, n_b) of each node and the most typical one of its group, for every mixing.
+
+    A group holds sizes within a quarter; its bounds shift with the mixing.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.col("mix") / STARS).alias("band")
+    stars = rows.select("node", "n", "rare", F.posexplode("stars").alias("mix", "least")).select("node", "n", "rare", "mix", band, "least")
+    first = stars.groupBy("mix", "band", "least").agg(
+        F.min(F.struct("rare", F.xxhash64("mix", "node").alias("turn"), "node", "n")).alias("f"), F.max("node").alias("high"), F.min("node").alias("low"))
+    least = store(first.where("low <> high").select("mix", "band", "least", "f"), "stars")
+    found = store(stars.join(least, ["mix", "band", "least"]).where("node <> f.node").select(
+        F.col("f.node").alias("a"), F.col("node").alias("b"), F.col("least").alias("key"), F.col("f.n").alias("n_a"), F.col("n").alias("n_b")), "star-rows")
+    discard(least)
+    return found
+
+
+def classes(documents: DataFrame, size: int = SIZE, similarity: Fraction = SIMILARITY, sample: int = OFTEN) -> DataFrame:
+    """(doc_id, text_hash, root) of each row; ``root`` is one node of the component. ``sample`` bounds the frequent runs that are put last."""
+    from citemill.llm.simhash import print_of  # which builds on this module
+
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("text"))
-    often, ranks = frequent_runs(texts, size, sample)
+    often, ranks = frequent_runs(texts, size, most=sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in binary_rows(batches, "text"):
-            sets = [runs_of(t, size) for t in found]
-            lists = lambda of: pa.array([of(s) for s in sets], pa.list_(pa.int64()))  # noqa: B023, E731
+            whole = [all_runs(t, size) for t in found]
+            sets = [np.unique(w) for w in whole]
+            rank = [ranks_of(s, often, ranks) for s in sets]
+            lists = lambda of: pa.array([of(s, r) for s, r in zip(sets, rank, strict=True)], pa.list_(pa.int64()))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                 lists(lambda s: in_order(s, often, ranks)[: prefix_length(len(s), similarity)].view(np.int64)), lists(stars_of)],
-                ["doc_id", "text_hash", "node", "n", "prefix", "stars"])
+                 pa.array([float((r == 0).mean()) if len(r) else 0.0 for r in rank], pa.float64()),
+                 pa.array(np.array([print_of(w) for w in whole], np.uint64).view(np.int64), pa.int64()),
+                 lists(lambda s, r: in_order(s, r)[: prefix_length(len(s), similarity)].view(np.int64)), lists(lambda s, _: stars_of(s))],
+                ["doc_id", "text_hash", "node", "n", "rare", "fingerprint", "prefix", "stars"])
 
-    rows = store(texts.mapInArrow(run, f"{_NODES}, n int, prefix array<bigint>, stars array<bigint>"), "run-prefixes")
+    rows = store(texts.mapInArrow(run, f"{_NODES}, n int, rare double, fingerprint bigint, prefix array<bigint>, stars array<bigint>"), "run-prefixes")
     close = lambda a, b: F.least(a, b) * similarity.denominator >= F.greatest(a, b) * similarity.numerator
 
-    stars = rows.select("node", "n", F.posexplode("stars").alias("mix", "least"))
-    first = stars.groupBy("mix", "least").agg(F.min(F.struct("node", "n")).alias("f"), F.max("node").alias("last")).where("f.node <> last")
-    least = store(first.select("mix", "least", "f"), "stars")
-    met = stars.join(least, ["mix", "least"]).where((F.col("node") != F.col("f.node")) & close(F.col("n"), F.col("f.n")))
-    pairs = store(met.groupBy(F.col("f.node").alias("a"), F.col("node").alias("b")).agg(F.min("least").alias("key")), "star-pairs")
-    star_links = verified(pairs, rows, texts, size, similarity)
-    known = connected_components(star_links)
-    discard(least, pairs)
+    prints, stars = fingerprint_pairs(rows), star_pairs(rows)
+    either = prints.unionByName(stars).where(close(F.col("n_a"), F.col("n_b")))
+    pairs = store(either.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("key").alias("key")), "first-pairs")
+    discard(prints, stars)
+    first_links = verified(pairs, rows, texts, size, similarity)
+    known = connected_components(first_links)
+    discard(pairs)
 
     # runs of prefixes that different components hold: a partial aggregate, so a run of very many texts is a few rows a task
     held = rows.select("node", "n", "prefix").join(known, "node", "left").select(
@@ -224,14 +278,16 @@ def classes(documents: DataFrame, size: int = SIZE, similarity: Fraction = SIMIL
     mixed = store(held.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("run"), "open-runs")
     open_ = store(held.join(mixed, "run").dropDuplicates(["run", "node"]), "open-prefixes")
     side = lambda c: open_.select("run", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "root", "at")])
-    both = side("a").join(side("b"), "run").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close(F.col("n_a"), F.col("n_b")))
+    both = side("a").join(side("b"), "run").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close(F.col("n_a"), F.col("n_b"))
+        # the first run that two sets share leaves room for all they must share; later shared runs that do not are not needed
+        & reaches(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")), F.col("n_a"), F.col("n_b"), similarity))
     counted = both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(
         F.count(F.lit(1)).alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"), F.min("run").alias("key"))
     most = F.col("shared") + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
     pairs = store(counted.where(reaches(most, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b", "key"), "prefix-pairs")
     discard(known, mixed, open_)
     more_links = verified(pairs, rows, texts, size, similarity)
-    roots = connected_components(star_links.unionByName(more_links)).withColumnRenamed("root", "top")
+    roots = connected_components(first_links.unionByName(more_links)).withColumnRenamed("root", "top")
     found = store(rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("top", "node").alias("root")), "near-copy-classes")
-    discard(rows, pairs, star_links, more_links)
+    discard(rows, pairs, first_links, more_links)
     return found

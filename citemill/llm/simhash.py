@@ -56,12 +56,16 @@ def fingerprint(text: bytes, size: int = SIZE) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends[: max(1, len(words) - size + 1)] - [len(w) + 1 for w in words[: max(1, len(words) - size + 1)]]).tolist()
     ends = (ends[size - 1 :] - 1).tolist() or [len(joined)]
+    return print_of(np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's run hashes, repeats included."""
     total = np.zeros(64, np.int64)
-    for at in range(0, len(starts), _CHUNK):
-        part = [hash_of(joined[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(documents: DataFrame, size: int = SIZE) -> DataFrame:
@@ -122,7 +126,7 @@ def near_duplicates(documents: DataFrame, size: int = SIZE) -> DataFrame:
 def drop_near_duplicates(documents: DataFrame, size: int = near_copies.SIZE, similarity: Fraction = near_copies.SIMILARITY) -> DataFrame:
     """One document of each component of near copies, with all its columns: that of the smallest doc_id, then text hash; null ids come last.
 
-    The components are those of ``near_copies``: the fingerprints' two bits bind ``near_duplicates`` only.
+    The components are those of ``near_copies``, which takes fingerprint links first and then finds what two bits miss.
     Rows meet the kept (doc_id, text hash) in one shuffle, which also leaves one of several equal rows.
     """
     found = near_copies.classes(documents, size, similarity)

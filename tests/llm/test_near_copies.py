@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citemill.llm import near_copies
+from citemill.llm import near_copies, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, mix_epoch string"
 
@@ -69,3 +69,21 @@ def test_odd_rows(spark):
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(*x, "en", "s", "x") for x in rows], DOCS), "")
     assert sorted((x["doc_id"], x["text"]) for x in out.collect()) == [(5, "another one"), (5, text), (7, None)]
     assert near_copies.classes(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_fingerprints_come_first_and_a_hot_group_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with few edits each: the operator's links are taken, and pairs stay in proportion to the group."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(9000)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        copy = list(base)
+        for _ in range(r.randrange(6) if i else 0):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(9000)}"
+        rows.append((i, " ".join(copy)))
+    linked, judged, links, verified = [], [], simhash.links, near_copies.verified
+    monkeypatch.setattr(simhash, "links", lambda nodes: linked.append(nodes.count()) or links(nodes))
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a, **k: judged.append(pairs.count()) or verified(pairs, *a, **k))
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(*x, "en", "s", "x") for x in rows], DOCS), "")
+    assert sorted(x["doc_id"] for x in out.collect()) == brute_kept(rows)
+    assert linked and linked[0] > 100 and sum(judged) < 10 * len(rows)
