@@ -19,6 +19,12 @@ def has_content(spark: SparkSession, folder: str) -> bool:
     return any(f.getLen() > 0 and f.getPath().getName().startswith("part-") for f in listed)
 
 
+def length(spark: SparkSession, path: str) -> int:
+    """Bytes of a file."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(path))
+    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(location).getLen()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds; nothing if it is not there."""
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

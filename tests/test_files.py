@@ -206,3 +206,21 @@ def test_labels_are_reached_in_the_dialect_of_the_scan(spark):
     rows = [("a", ["(?P<x>lead)"], "Lead", "pb"), ("b", [r"\bzin\w\b", "("], "ZINC", ""), ("c", ["["], "c", None), ("d", None, "d", "d")]
     terms = spark.createDataFrame(rows, "entity_id string, patterns array<string>, label_es string, label_en string")
     assert sorted((r["entity_id"], r["lang"]) for r in unreachable_labels(terms).collect()) == [("a", "en"), ("c", "es"), ("d", "en"), ("d", "es")]
+
+
+def test_one_row_group_is_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """A table in one file of one row group: without a named number, tasks follow its bytes; many small files stay as they are."""
+    from citemill import session
+
+    spark.range(1000).selectExpr("id AS doc_id", "repeat(md5(string(id)), 20) AS text").coalesce(1).write.parquet(str(tmp_path / "one"))
+    named = spark.conf.get("spark.citemill.partitions")
+    spark.conf.unset("spark.citemill.partitions")
+    try:
+        monkeypatch.setattr(session, "TASK_BYTES", 4096, raising=False)
+        df = spark.read.parquet(str(tmp_path / "one"))
+        sizes = session.dealt(df).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert len(sizes) >= 5 and sum(sizes) == 1000 and max(sizes) < 400
+        monkeypatch.setattr(session, "TASK_BYTES", 1 << 30, raising=False)
+        assert session.dealt(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.citemill.partitions", named)
