@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,22 @@ SENTENCE_REACH = 900
 EMPTY_SENTENCE_RADIUS = 180
 # characters of a text block
 BLOCK = 4096
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+# one look ahead drops printable ASCII, that is most of a text, before the members of the class are tested
+LINE_BREAK = r"(?![ -~])(?:\r\n|[\n-\r\x1C-\x1E\x85\u2028\u2029])"
+# whitespace runs other than one blank, which would be replaced by itself
+_LOOSE_SPACE = f"(?![!-~])(?:[{SPACE}&&[^ ]][{SPACE}]*+| [{SPACE}]++)"
 PAGE_BREAK = "\f"
 PAGE_JOIN = "\n\f\n"
 
 
 def squash(text: Column) -> Column:
     """Collapse whitespace runs to one blank and trim; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _LOOSE_SPACE, " "))
+
+
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value evaluated once, where a plan would repeat it for each of its uses."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def clean_page(text: Column) -> Column:

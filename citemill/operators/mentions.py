@@ -126,9 +126,12 @@ def find_mentions(articles: DataFrame, protocol: Protocol, carry: tuple[str, ...
     fragment, at = F.col("fragment"), F.col("at")
     whole = tx.squash(tx.cut(fragment, at - F.col("start") + F.col("sentence_from"), at - F.col("start") + F.col("sentence_to")))
     quoted = (F.col("sentence") != "") & F.col("sentence").contains(tx.squash(F.col("matched_text")))
+    # nothing is shared inside a lambda, so the text of a pair and the test of its characters become fields before the families meet them
+    texts = F.transform("partners", lambda p: F.struct(
+        p["idx"].alias("idx"), p["span"].alias("span"), tx.squash(tx.cut(fragment, at, at + p["span"])).alias("text")))
+    tested = F.transform(texts, lambda p: F.struct(p["idx"].alias("idx"), p["span"].alias("span"), p["text"].alias("text"), is_unusual(p["text"]).alias("unusual")))
     joint = lambda p: F.struct(
-        p["idx"].alias("idx"), p["span"].alias("span"),
-        evidence_points(tx.squash(tx.cut(fragment, at, at + p["span"])), protocol.cues).cast("int").alias("points"))
+        p["idx"].alias("idx"), p["span"].alias("span"), evidence_points(p["text"], protocol.cues, p["unusual"]).cast("int").alias("points"))
     rows = (
         hits.withColumn("matched_text", tx.cut(fragment, at, at + size))
         .withColumn("context", tx.context_window(fragment, at, at + size, protocol.context_radius))
@@ -137,7 +140,7 @@ def find_mentions(articles: DataFrame, protocol: Protocol, carry: tuple[str, ...
         .withColumn("sentence_to", F.when(whole != "", F.col("sentence_to")).otherwise(F.col("end") + EMPTY_SENTENCE_RADIUS))
         .withColumn("sentence_key", F.when(quoted, F.unhex(F.md5("sentence"))))
         .withColumn("sentence_points", F.when(F.col("sentence_key").isNotNull() & F.col("partners").isNotNull(), evidence_points(F.col("sentence"), protocol.cues).cast("int")))
-        .withColumn("partners", F.transform("partners", joint))
+        .withColumn("partners", F.transform(tested, joint))
         .withColumn("left_text", tx.cut(fragment, at - protocol.kwic_radius, at))
         .withColumn("right_text", tx.cut(fragment, at + size, at + size + protocol.kwic_radius))
         .withColumn("entity", F.element_at(term_fields(protocol.terms), F.col("term") + 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citemill.functions import labels as lb
 from citemill.functions import text as tx
 from citemill.functions.regex import extract, java_pattern, matches_any
+from citemill.operators.metadata import guess_title
 from tests import brute
 
 ALPHABET = "aA Éé.!? \n\n\t\f  \x1c1²é_-ſK😀ñÑ"
@@ -119,3 +120,24 @@ def test_split_sentences_is_linear(spark):
 
     took(100)
     assert took(16000) < 3 * took(8000) + 2
+
+
+@pytest.mark.parametrize("pattern", [r"\bkind\b", r"\bs?ink\s+of", r"\bno\b", r"\b(may|might)\b", r"\d+\s*mg\b", r"[^\W\d]+x", r"caf[eé]\b"])
+def test_ascii_rules_and_literals_answer_as_python_does(spark, pattern):
+    texts = ["Kind", "a KIND b", "Kind", "kınd", "kİnd", "ſink  of", "SINK\tof", "sinko f", "no", "nó", "nó", "know", "5 MG", "5 mg.", "mgs",
+             "might", "ab1x", "café", "CAFE", "", "x" * 5000 + " no " + "y" * 5000]
+    assert column(spark, texts, matches_any(F.col("t"), [pattern])) == [bool(re.search(pattern, t, re.I)) for t in texts]
+
+
+def test_squash_and_title_lines_equal_the_plain_rules(spark):
+    texts = [" a  b ", "a b", "\ta  b\n", "a \x1cb", "\x85", "a b", "  ", "a\r\n\r\nb"]
+    assert column(spark, texts, tx.squash(F.col("t"))) == [re.sub(r"\s+", " ", t).strip(" ") for t in texts]
+    good = "A title of fitting length"
+    lines = [["short"] * n + ["see DOİ and DOI of this", good, "Another fitting title"] for n in (0, 2, 3, 4, 20, 89)]
+    found = column(spark, [" ".join(x) for x in lines], guess_title(F.col("t"), F.lit(""), F.create_map().cast("map<string,string>")))
+    assert found == [good] * 5 + [""]
+
+
+def test_a_regex_meets_only_texts_that_hold_its_literal(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(matches_any(F.col("t"), [r"\bkind\b"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(lower(t" in plan.split("RLIKE")[0]
