@@ -41,10 +41,12 @@ FOLDED = "\u0130\u0131\u017f\u212a"
 # Java's Unicode \\b is fast and can differ from Python's only next to characters outside
 # these ranges (combining marks, superscripts, fractions, connectors, joiners, ...). The
 # ASCII test stands alone in front: most characters stop there.
-UNUSUAL = (
-    r"[[^\x00-\x7F]&&[^\x80-\xB1\xB4-\xB8\xBA\xBB\xBF-\u024F\u0391-\u03FF\u0400-\u0481\u048A-\u052F"
-    r"\u2010-\u2027\u2030-\u203E\u20A0-\u20BF\u4E00-\u9FFF]]"
+_USUAL = (
+    r"\x80-\xB1\xB4-\xB8\xBA\xBB\xBF-\u024F\u0391-\u03FF\u0400-\u0481\u048A-\u052F"
+    r"\u2010-\u2027\u2030-\u203E\u20A0-\u20BF\u4E00-\u9FFF"
 )
+UNUSUAL = rf"[[^\x00-\x7F]&&[^{_USUAL}]]"
+UNUSUAL_OF_PYTHON = rf"[^\x00-\x7F{_USUAL}]"
 
 
 def java_pattern(pattern: str, ignore_case: bool = True, fast_edges: bool = False, ascii_only: bool = False) -> str:
@@ -98,6 +100,38 @@ def sure_text(pattern: str) -> tuple[str, int | None]:
     return sure, least if least == most else None
 
 
+def first_letters(pattern: str) -> str | None:
+    """The ASCII letters and digits, lower case, with which every match of a pattern begins; None when unknown."""
+
+    def of(parsed) -> set[str] | None:
+        for op, value in parsed:
+            if op is _parser.AT:
+                continue
+            if op is _parser.LITERAL:
+                found = [{chr(value).lower()}]
+            elif op is _parser.IN and all(kind is _parser.LITERAL for kind, _ in value):
+                found = [{chr(v).lower() for _, v in value}]
+            elif op is _parser.SUBPATTERN:
+                found = [of(value[3])]
+            else:
+                found = [of(p) for p in value[1]] if op is _parser.BRANCH else [None]
+            letters = None if None in found else set().union(*found)
+            return letters if letters and all(c.isascii() and c.isalnum() for c in letters) else None
+        return None
+
+    letters = of(_parser.parse(pattern, re.IGNORECASE))
+    return letters and "".join(sorted(letters))
+
+
+def _guard(patterns: list[str] | tuple[str, ...], ascii_only: bool = False) -> str:
+    """A look ahead for the first character of a match, which fails sooner than a word boundary; empty when it is unknown."""
+    letters = [first_letters(p) for p in patterns]
+    if not all(letters):
+        return ""
+    both = sorted({d for c in "".join(letters) for d in (c, c.upper())})
+    return f"(?=[{''.join(both)}{'' if ascii_only else FOLDED}])"
+
+
 def is_ascii(text: Column) -> Column:
     """Whether every character has one byte; no regex looks at the text."""
     return F.octet_length(text) == F.length(text)
@@ -113,7 +147,7 @@ def is_unusual(text: Column) -> Column:
     return ~is_ascii(text) & text.rlike(UNUSUAL)
 
 
-def may_match(text: Column, patterns: list[str] | tuple[str, ...]) -> Column | None:
+def may_match(text: Column, patterns: list[str] | tuple[str, ...], lowered: Column | None = None) -> Column | None:
     """False where a text lacks the literal that a match of each pattern must contain; None if one pattern has no such literal.
 
     A substring test is much cheaper than a regex that fails at every character.
@@ -121,13 +155,13 @@ def may_match(text: Column, patterns: list[str] | tuple[str, ...]) -> Column | N
     sure = [sure_text(p)[0] for p in patterns]
     if not all(sure):
         return None
-    return contains_any(F.lower(text), tuple(dict.fromkeys(sure))) | (~is_ascii(text) & contains_any(text, tuple(FOLDED)))
+    return contains_any(F.lower(text) if lowered is None else lowered, tuple(dict.fromkeys(sure))) | (~is_ascii(text) & contains_any(text, tuple(FOLDED)))
 
 
-def matches_any(text: Column, patterns: list[str] | tuple[str, ...], unusual: Column | None = None) -> Column:
+def matches_any(text: Column, patterns: list[str] | tuple[str, ...], unusual: Column | None = None, lowered: Column | None = None) -> Column:
     """True when one pattern of a family is found; an empty family never fires.
 
-    Pass ``unusual`` (see ``is_unusual``) when several families test the same text.
+    Pass ``unusual`` (see ``is_unusual``) and ``lowered``, the text in lower case, when several families test the same text.
     """
     if not patterns:
         return F.lit(False)
@@ -136,18 +170,19 @@ def matches_any(text: Column, patterns: list[str] | tuple[str, ...], unusual: Co
         rewritten = [java_pattern(p, **dialect) for p in patterns]
         if any(re.search(r"\\[1-9]|\(\?P", p) for p in patterns):  # groups are numbered or named
             return reduce(lambda x, y: x | y, [text.rlike(p) for p in rewritten])
-        return text.rlike("|".join(f"(?:{p})" for p in rewritten))
+        return text.rlike(_guard(patterns, "ascii_only" in dialect) + "(?:" + "|".join(f"(?:{p})" for p in rewritten) + ")")
 
     fires = F.when(is_unusual(text) if unusual is None else unusual, found()).otherwise(found(fast_edges=True))
     if all(map(is_plain, patterns)):
         fires = F.when(is_ascii(text), found(ascii_only=True)).otherwise(fires)
-    possible = may_match(text, patterns)
+    possible = may_match(text, patterns, lowered)
     return fires if possible is None else possible & fires
 
 
 def extract(text: Column, pattern: str, group: int, ignore_case: bool = True) -> Column:
     """First match of a pattern, or empty text."""
-    exact, fast, plain = (F.regexp_extract(text, java_pattern(pattern, ignore_case, *d), group) for d in ((), (True,), (False, True)))
+    exact, fast, plain = (
+        F.regexp_extract(text, _guard([pattern], d == (False, True)) + java_pattern(pattern, ignore_case, *d), group) for d in ((), (True,), (False, True)))
     rest = F.when(is_unusual(text), exact).otherwise(fast)
     return F.when(is_ascii(text), plain).otherwise(rest) if is_plain(pattern) else rest
 

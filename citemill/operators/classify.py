@@ -20,14 +20,15 @@ CONTEXT_ROWS = 8
 OPENING_CHARS = Limits().kind_chars
 
 
-def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str, list[str]], chars: int | None = OPENING_CHARS) -> Column:
-    """First matching study design, from metadata and the opening of the text."""
+def article_kind(title: Column, study_type: Column, text: Column, cues: dict[str, list[str]], chars: int | None = OPENING_CHARS,
+                 unusual_text: Column | None = None) -> Column:
+    """First matching study design, from metadata and the opening of the text. Pass ``unusual_text`` (see ``holds_unusual``) where it is known."""
     metadata = F.concat_ws(" ", title, study_type)
     opening = F.concat_ws(" ", metadata, text if chars is None else F.substring(text, 1, chars))
     lowered = F.lower(metadata)
 
     # the opening contains the metadata, so one test of its characters serves both
-    unusual = is_unusual(opening)
+    unusual = is_unusual(opening) if unusual_text is None else is_unusual(metadata) | (unusual_text & is_unusual(opening))
 
     def fires(family: str, where: Column) -> Column:
         return matches_any(where, cues.get(family, []), unusual)

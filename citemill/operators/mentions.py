@@ -27,45 +27,46 @@ def _blocks(text: Column) -> Column:
     )
 
 
-def explode_spans(found: DataFrame, section_starts: Column, keep_empty: bool = False, distance: int | None = None) -> DataFrame:
-    """One row per match: article columns but ``text``, plus mention_idx, the fields of ``find_terms``, section_no and blocks.
+def explode_spans(found: DataFrame, section_starts: Column, left: int, right: int, keep_empty: Column | None = None, distance: int | None = None) -> DataFrame:
+    """One row per match: article columns but ``text``, plus mention_idx, the fields of ``find_terms``, section_no, fragment and at.
 
     ``found`` holds ``find_terms`` as ``hits``; put it beside ``find_headers``, so that a text crosses to Python once.
-    ``section_no`` is the number of section starts up to the match.
-    With ``keep_empty`` an article without a match has one row with a null match. With ``distance`` the first row of each article holds
-    ``quotable``: the text blocks in which a quotation of two matches can begin, each with what follows in reach.
+    ``section_no`` is the number of section starts up to the match. ``fragment`` is the text ``left`` / ``right`` characters around the
+    match, which begins at ``at`` in it. Fragments are cut before the matches are exploded, so no row carries the blocks of its article.
+    With ``keep_empty`` an article without a match, or where that column is false, has one row with a null match. With ``distance`` the first
+    match of each article holds ``quotable``: the text blocks in which a quotation of two matches can begin, each with what follows in reach.
 
     The outer explode plus filter is deliberate: a plain explode makes the optimizer
     repeat the scan function inside an inferred ``size(hits) > 0`` filter.
     """
-    rest = [c for c in found.columns if c not in ("text", "hits")]
-    extra = ["text_chars", "blocks"]
-    hits = found.select(
-        *rest, F.length("text").alias("text_chars"), _blocks(F.col("text")).alias("blocks"), "hits",
-        ranks_among(section_starts, F.transform("hits", lambda h: h["start"])).alias("section_nos"))
-    if distance is not None:
+    rest = [c for c in found.columns if c not in ("text", "hits", "span_starts")]
+    ranked = found.select(*rest, "text", "hits", ranks_among(section_starts, F.transform("hits", lambda h: h["start"])).alias("section_nos"))
+
+    def around(h: Column, blocks: Column) -> Column:
+        first = F.greatest(h["start"] - left, F.lit(0))
+        low, high = F.floor(first / BLOCK).cast("int"), F.floor((h["end"] + right - 1) / BLOCK).cast("int")
+        return tx.cut(F.array_join(F.slice(blocks, low + 1, high - low + 1), ""), first - low * BLOCK, h["end"] + right - low * BLOCK)
+
+    def quotable(blocks: Column) -> Column:
         paired = F.filter("hits", lambda h: h["partners"].isNotNull())
         begins = F.flatten(F.transform(paired, lambda h: F.array(h["start"], h["sentence_from"])))
         numbers = F.array_distinct(F.transform(begins, lambda b: F.floor(b / BLOCK).cast("int")))
         after = 1 + -(-max(distance, 3 * tx.SENTENCE_REACH) // BLOCK)
-        hits = hits.withColumn("quotable", F.transform(numbers, lambda n: F.struct(
-            n.alias("no"), F.array_join(F.slice("blocks", n + 1, F.lit(after)), "").alias("text"))))
-        extra.append("quotable")
-    placed = F.arrays_zip(F.col("hits").alias("hit"), F.col("section_nos").alias("section_no"))
-    rows = hits.select(*rest, *extra, F.posexplode_outer(placed).alias("mention_idx", "h")).select("*", "h.section_no", "h.hit").drop("h")
-    return (rows if keep_empty else rows.where(F.col("hit").isNotNull())).select("*", "hit.*").drop("hit")
-
-
-def with_fragment(hits: DataFrame, left: int, right: int) -> DataFrame:
-    """Replace the blocks by the text ``left`` / ``right`` characters around the match."""
-    first = F.greatest(F.col("start") - left, F.lit(0))
-    last = F.least(F.col("text_chars"), F.col("end") + right)
-    low = F.floor(first / BLOCK).cast("int")
-    high = F.floor((last - 1) / BLOCK).cast("int")
-    near = F.array_join(F.slice("blocks", low + 1, high - low + 1), "")
-    return hits.withColumn("fragment", tx.cut(near, first - low * BLOCK, last - low * BLOCK)).withColumn(
-        "at", F.col("start") - first
-    ).drop("blocks")
+        return F.transform(numbers, lambda n: F.struct(n.alias("no"), F.array_join(F.slice(blocks, n + 1, F.lit(after)), "").alias("text")))
+
+    # nothing but the generator may read the text, which would travel to every match otherwise
+    def placed(text: Column) -> Column:
+        blocks = text["blocks"]
+        return F.transform("hits", lambda h, i: F.struct(
+            h.alias("hit"), F.get("section_nos", i).alias("section_no"), text["chars"].alias("text_chars"), around(h, blocks).alias("fragment"),
+            *([F.when(i == 0, quotable(blocks)).alias("quotable")] if distance is not None else [])))
+
+    items = F.when(F.size("hits") > 0, tx.bound(F.struct(F.length("text").alias("chars"), _blocks(F.col("text")).alias("blocks")), placed))
+    if keep_empty is not None:
+        items = F.when(keep_empty, items)
+    rows = ranked.select(*rest, F.posexplode_outer(items).alias("mention_idx", "h")).select("*", "h.*").drop("h")
+    rows = (rows if keep_empty is not None else rows.where(F.col("hit").isNotNull())).select("*", "hit.*").drop("hit")
+    return rows.withColumn("at", F.least(F.col("start"), F.lit(left)))
 
 
 def term_fields(terms: tuple[Term, ...]) -> Column:
@@ -109,29 +110,30 @@ def find_mentions(articles: DataFrame, protocol: Protocol, carry: tuple[str, ...
     ahead = max(reach, protocol.relation_distance)
     columns = ["article_id", "source_path", "article_kind", "pages"]
     if carry:
-        text = F.when(F.col("text_extractable"), F.col("text")).alias("text")
-        source = articles.select(*columns, text, F.struct(*carry).alias("article"))
+        source = articles.select(*columns, "text", "text_extractable", F.struct(*carry).alias("article"))
     else:
         source = articles.where("text_extractable").select(*columns, "text")
-    starts = F.transform("spans", lambda s: s["start"])
-    found = source.withColumn("hits", find_terms(F.col("text"), protocol.terms, distance=protocol.relation_distance))
-    hits = explode_spans(with_sections(found, protocol.headers), starts, bool(carry), protocol.relation_distance)
-    hits = with_fragment(
+    found = source.withColumns({
+        "hits": find_terms(F.col("text"), protocol.terms, distance=protocol.relation_distance), "unusual_text": tx.holds_unusual(F.col("text"))})
+    hits = explode_spans(
+        with_sections(found, protocol.headers), F.col("span_starts"), reach, ahead, F.col("text_extractable") if carry else None, protocol.relation_distance)
+    hits = (
         hits.withColumn("section", section_of(F.col("spans"), F.col("section_no")))
         .withColumn("page", tx.page_of(F.col("page_no"), F.col("page_breaks"), F.col("start"), F.col("pages"), F.col("text_chars")))
-        .drop("spans"),
-        reach, ahead,
+        .drop("spans")
     )
     size = F.col("end") - F.col("start")
     fragment, at = F.col("fragment"), F.col("at")
     whole = tx.squash(tx.cut(fragment, at - F.col("start") + F.col("sentence_from"), at - F.col("start") + F.col("sentence_to")))
     quoted = (F.col("sentence") != "") & F.col("sentence").contains(tx.squash(F.col("matched_text")))
-    # nothing is shared inside a lambda, so the text of a pair and the test of its characters become fields before the families meet them
+    # nothing is shared inside a lambda, so the text of a pair, its lower case and the test of its characters become fields before the families meet them
+    unusual = lambda part: F.col("unusual_text") & is_unusual(part)
     texts = F.transform("partners", lambda p: F.struct(
         p["idx"].alias("idx"), p["span"].alias("span"), tx.squash(tx.cut(fragment, at, at + p["span"])).alias("text")))
-    tested = F.transform(texts, lambda p: F.struct(p["idx"].alias("idx"), p["span"].alias("span"), p["text"].alias("text"), is_unusual(p["text"]).alias("unusual")))
+    tested = F.transform(texts, lambda p: F.struct(
+        p["idx"].alias("idx"), p["span"].alias("span"), p["text"].alias("text"), F.lower(p["text"]).alias("lowered"), unusual(p["text"]).alias("unusual")))
     joint = lambda p: F.struct(
-        p["idx"].alias("idx"), p["span"].alias("span"), evidence_points(p["text"], protocol.cues, p["unusual"]).cast("int").alias("points"))
+        p["idx"].alias("idx"), p["span"].alias("span"), evidence_points(p["text"], protocol.cues, p["unusual"], p["lowered"]).cast("int").alias("points"))
     rows = (
         hits.withColumn("matched_text", tx.cut(fragment, at, at + size))
         .withColumn("context", tx.context_window(fragment, at, at + size, protocol.context_radius))
@@ -139,22 +141,22 @@ def find_mentions(articles: DataFrame, protocol: Protocol, carry: tuple[str, ...
         .withColumn("sentence_from", F.when(whole != "", F.col("sentence_from")).otherwise(F.greatest(F.col("start") - EMPTY_SENTENCE_RADIUS, F.lit(0))))
         .withColumn("sentence_to", F.when(whole != "", F.col("sentence_to")).otherwise(F.col("end") + EMPTY_SENTENCE_RADIUS))
         .withColumn("sentence_key", F.when(quoted, F.unhex(F.md5("sentence"))))
-        .withColumn("sentence_points", F.when(F.col("sentence_key").isNotNull() & F.col("partners").isNotNull(), evidence_points(F.col("sentence"), protocol.cues).cast("int")))
+        .withColumn("sentence_points", F.when(F.col("sentence_key").isNotNull() & F.col("partners").isNotNull(), evidence_points(F.col("sentence"), protocol.cues, unusual(F.col("sentence"))).cast("int")))
         .withColumn("partners", F.transform(tested, joint))
         .withColumn("left_text", tx.cut(fragment, at - protocol.kwic_radius, at))
         .withColumn("right_text", tx.cut(fragment, at + size, at + size + protocol.kwic_radius))
         .withColumn("entity", F.element_at(term_fields(protocol.terms), F.col("term") + 1))
         .select("*", "entity.*")
     )
-    rows = rows.withColumn("unusual", is_unusual(F.col("context")))
+    rows = rows.withColumn("unusual", unusual(F.col("context"))).withColumn("lowered", F.lower("context"))
     for cue in fixed.MENTION_CUES:
-        flag = matches_any(F.col("context"), protocol.cues.get(cue, []), F.col("unusual"))
+        flag = matches_any(F.col("context"), protocol.cues.get(cue, []), F.col("unusual"), F.col("lowered"))
         rows = rows.withColumn(f"cue_{cue}", flag)
     return rows.withColumn("score", mention_score(protocol.weights)).select(
         "article_id", "source_path", "article_kind", "mention_idx", "nth",
         "entity_type", "entity_id", "label_es", "label_en", "category", "is_generic",
         "matched_text", "section", "start", "end", "page", "context", "sentence",
         *[f"cue_{c}" for c in fixed.MENTION_CUES], "score", "left_text", "right_text", "sentence_key", "sentence_points", "sentence_from", "sentence_to", "partners",
-        F.when(F.col("mention_idx") == 0, F.col("quotable")).alias("quotable"),
+        "quotable",
         *([F.when(F.coalesce("mention_idx", F.lit(0)) == 0, F.col("article")).alias("article")] if carry else []),
     )

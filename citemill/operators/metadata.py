@@ -9,44 +9,19 @@ from citemill import fixed
 from citemill.config import Limits
 from citemill.functions.labels import first_filled
 from citemill.functions.regex import contains_any, extract
-from citemill.functions.text import LINE_BREAK, bound, squash
+from citemill.functions.text import first_line, squash
 from citemill.operators.groups import top_rows
 
 # Reach of the reference rules into a text, the defaults of parameters; None looks at the whole text.
 _L = Limits()
 SCANNED_CHARS, YEAR_CHARS, DOI_CHARS = _L.metadata_chars, _L.year_chars, _L.doi_chars
 TITLE_LINES, CONTEXT_TITLE_LINES = _L.title_lines, _L.context_title_lines
-# lines that are tried for a title before the text is split any further
-OPENING_LINES = 4
 
 
 def opening_of(text: Column, chars: int | None) -> Column:
     return text if chars is None else F.substring(text, 1, chars)
 
 
-def _first_lines(text: Column, lines: int | None) -> Column:
-    if lines is None:
-        return F.split(F.coalesce(text, F.lit("")), LINE_BREAK, -1)
-    return F.slice(F.split(F.coalesce(text, F.lit("")), LINE_BREAK, lines + 1), 1, lines)
-
-
-def _first_plausible(text: Column, lines: int | None, shortest: int, longest: int, boilerplate: tuple[str, ...]) -> Column:
-    """First line of fitting length without boilerplate, or null. Lines behind the first ``OPENING_LINES`` are only read where none of those fits."""
-
-    def plausible(fitting: Column) -> Column:
-        # lower case once for all lines, not once for each fragment
-        both = F.zip_with(fitting, F.split(F.lower(F.array_join(fitting, "\n")), "\n"), lambda c, low: F.struct(c.alias("line"), low.alias("lower")))
-        return F.get(F.filter(both, lambda c: ~contains_any(c["lower"], boilerplate)), F.lit(0))["line"]
-
-    def pick(candidates: Column) -> Column:
-        return bound(F.filter(F.transform(candidates, squash), lambda c: F.length(c).between(shortest, longest)), plausible)
-
-    if lines is not None and lines <= OPENING_LINES:
-        return pick(_first_lines(text, lines))
-    behind = F.slice(_first_lines(text, lines), OPENING_LINES + 1, 1 << 30)
-    return F.coalesce(pick(_first_lines(text, OPENING_LINES)), pick(behind))
-
-
 def title_tokens(title: Column, stopwords=fixed.TITLE_STOPWORDS, token: str = fixed.TITLE_TOKEN) -> Column:
     """Distinct lower-case words of at least five letters, stop words removed."""
     words = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(token), F.lit(0))
@@ -118,7 +93,7 @@ def guess_title(text: Column, embedded: Column, row: Column, lines: int | None =
     listed = listed_title(row)
     starts = [F.lower(embedded).startswith(p) for p in fixed.EMBEDDED_TITLE_PUBLISHERS]
     usable = (F.coalesce(embedded, F.lit("")) != "") & ~(starts[0] | starts[1] | starts[2])
-    first = _first_plausible(text, lines, 12, 260, fixed.TITLE_BOILERPLATE)
+    first = first_line(text, lines, 12, 260, fixed.TITLE_BOILERPLATE)
     return (
         F.when(listed != "", listed)
         .when(usable, F.substring(embedded, 1, 260))
@@ -132,7 +107,7 @@ def guess_title_context(text: Column, embedded: Column, row: Column, lines: int
     starts = [F.lower(embedded).startswith(p) for p in fixed.CONTEXT_TITLE_PUBLISHERS]
     blocked = starts[0] | starts[1] | starts[2] | starts[3] | starts[4]
     usable = (F.length(F.coalesce(embedded, F.lit(""))) >= 10) & ~blocked
-    first = _first_plausible(text, lines, 12, 220, fixed.CONTEXT_TITLE_BOILERPLATE)
+    first = first_line(text, lines, 12, 220, fixed.CONTEXT_TITLE_BOILERPLATE)
     return (
         F.when(listed != "", listed)
         .when(usable, F.substring(embedded, 1, 240))

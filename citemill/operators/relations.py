@@ -32,10 +32,10 @@ def evidence_section() -> Column:
     return F.least(*[F.struct(F.col(f"{m}.start").alias("p"), F.col(f"{m}.section").alias("s")) for m in "ab"])["s"]
 
 
-def evidence_points(evidence: Column, cues: dict[str, list[str]], unusual: Column | None = None) -> Column:
+def evidence_points(evidence: Column, cues: dict[str, list[str]], unusual: Column | None = None, lowered: Column | None = None) -> Column:
     points = F.lit(0)
     for family, value in fixed.EVIDENCE_POINTS.items():
-        points = points + F.when(matches_any(evidence, cues.get(family, []), unusual), value).otherwise(0)
+        points = points + F.when(matches_any(evidence, cues.get(family, []), unusual, lowered), value).otherwise(0)
     return points
 
 

@@ -39,7 +39,10 @@ def _spans(markers: Column, length: Column) -> Column:
 
 
 def with_sections(articles: DataFrame, headers: dict[str, list[str]]) -> DataFrame:
-    """Add ``spans array<struct<name,start,end>>`` tiling each article's text."""
+    """Add ``spans array<struct<name,start,end>>`` tiling each article's text, and ``span_starts``.
+
+    The starts come from the markers, not from the spans, so that they need no text: only in an empty text is there one more of them.
+    """
     # markers: the synthetic title loses ties on one offset, others tie by name
     markers = F.transform(
         F.filter("headers", _is_header),
@@ -68,9 +71,10 @@ def with_sections(articles: DataFrame, headers: dict[str, list[str]]) -> DataFra
             F.concat(before, F.array(last).cast(MARKER))
         ),
     )
-    return df.withColumn("spans", _spans(F.col("markers"), F.length("text"))).drop(
-        "headers", "markers", "terminal"
-    )
+    return df.withColumns({
+        "spans": _spans(F.col("markers"), F.length("text")),
+        "span_starts": F.array_distinct(F.transform("markers", lambda m: m["start"])),
+    }).drop("headers", "markers", "terminal")
 
 
 def section_of(spans: Column, rank: Column) -> Column:

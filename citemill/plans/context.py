@@ -17,7 +17,7 @@ from citemill.functions import text as tx
 from citemill.functions.labels import lookup, yes_no
 from citemill.functions.regex import matches_any
 from citemill.operators.groups import exact_median, top_rows
-from citemill.operators.mentions import explode_spans, with_fragment
+from citemill.operators.mentions import explode_spans
 from citemill.operators.metadata import guess_title_context, opening_of
 from citemill.operators.scan import find_headers, find_terms
 
@@ -98,11 +98,10 @@ def find_mentions(articles: DataFrame, protocol: ContextProtocol) -> DataFrame:
     source = articles.select("article_id", "source_path", "title", "article_kind", "page_starts", "text")
     found = source.withColumn("hits", find_terms(F.col("text"), protocol.terms, keep_overlaps=True, page_starts=F.col("page_starts")))
     starts = F.transform("markers", lambda m: m["start"])
-    hits = explode_spans(with_markers(found, protocol.headers), starts)
-    hits = with_fragment(
+    hits = explode_spans(with_markers(found, protocol.headers), starts, RADIUS, RADIUS)
+    hits = (
         hits.withColumn("section", section_of(F.col("markers"), F.col("section_no"), F.col("start"), F.col("text_chars")))
-        .withColumn("page", F.greatest(F.lit(1), F.col("page_no"))),
-        RADIUS, RADIUS,
+        .withColumn("page", F.greatest(F.lit(1), F.col("page_no")))
     )
     names = F.array(*[
         F.struct(F.lit(t.label_es).alias("contaminant"), F.lit(t.category).alias("family"), F.lit(t.generic).alias("generic_term"))

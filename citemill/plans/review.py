@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citemill import fixed
 from citemill.config import Protocol
 from citemill.functions.labels import counts_to_json, first_filled, role_label, yes_no
-from citemill.functions.text import has_words, squash, word_count
+from citemill.functions.text import has_words, holds_unusual, squash, word_count
 from citemill.operators.classify import article_kind, summarize
 from citemill.operators.mentions import find_mentions
 from citemill.operators.metadata import best_metadata, guess_doi, guess_title, guess_year, listed_doi, listed_title, listed_year, opening_of
@@ -36,7 +36,7 @@ def describe_articles(raw: DataFrame, protocol: Protocol) -> DataFrame:
             word_count(text).alias("word_count"),
         )
         .withColumn("text_extractable", has_words(text, EXTRACTABLE_WORDS))
-        .withColumn("article_kind", article_kind(F.col("title"), F.col("metadata_study_type"), text, protocol.cues, limits.kind_chars))
+        .withColumn("article_kind", article_kind(F.col("title"), F.col("metadata_study_type"), text, protocol.cues, limits.kind_chars, holds_unusual(text)))
     )
 
 

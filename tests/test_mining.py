@@ -291,3 +291,10 @@ def test_no_text_is_shuffled_before_the_best_pair(make_articles, protocol):
     assert "Exchange" in plan and "ahead" not in plan
     pairs = sentence_pairs(m).unionByName(near_pairs(m))
     assert not {n for n, kind in pairs.dtypes if kind == "string"} - {"article_id", "entity_a_id", "entity_b_id", "section", "article_kind"}
+
+
+def test_no_text_travels_to_every_match(make_articles, protocol):
+    """Fragments are cut before matches are exploded; neither the text nor its blocks stand beside the generator."""
+    plan = find_mentions(make_articles([("x", "zinc")]), protocol)._jdf.queryExecution().executedPlan().toString()
+    (beside,) = [re.search(r", \[([^\[\]]*)\], true, \[", line).group(1) for line in plan.splitlines() if "Generate posexplode" in line]
+    assert "article_id#" in beside and not re.search(r"\b(text|blocks)#", beside)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citemill.functions import labels as lb
 from citemill.functions import text as tx
-from citemill.functions.regex import extract, java_pattern, matches_any
+from citemill.functions.regex import extract, first_letters, is_unusual, java_pattern, matches_any
 from citemill.operators.metadata import guess_title
 from tests import brute
 
@@ -141,3 +141,19 @@ def test_squash_and_title_lines_equal_the_plain_rules(spark):
 def test_a_regex_meets_only_texts_that_hold_its_literal(spark):
     plan = spark.createDataFrame([("x",)], "t string").select(matches_any(F.col("t"), [r"\bkind\b"]))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(lower(t" in plan.split("RLIKE")[0]
+
+
+def test_first_letters_of_a_pattern():
+    cases = {r"\bfor\b": "f", r"\b(19[5-9]\d|20[0-3]\d)\b": "12", r"(?:no|K)x": "kn", r"\w+": None, r"x?y": None, r"(a)?b": None, r"\bé": None, r"\b": None}
+    assert {p: first_letters(p) for p in cases} == cases
+
+
+def test_first_line_counts_every_line_break(spark):
+    texts = ["a\u2028 doi of a line \x0b  the \xa0 title\x1fline \x85next long line", "short\r\nx", "", None, "A line of Received papers"]
+    assert column(spark, texts, tx.first_line(F.col("t"), 3, 8, 40, ("doi", "received"))) == ["the title line", None, None, None, None]
+    assert column(spark, texts, tx.first_line(F.col("t"), 2, 8, 40, ("doi", "received")))[0] is None
+
+
+def test_a_text_without_unusual_characters_has_no_unusual_part(spark):
+    texts = ["plain", "café\u2014Ωя漢", "x\u0301", "\xb2", "\U0001f600", None]
+    assert column(spark, texts, tx.holds_unusual(F.col("t"))) == [bool(u) for u in column(spark, texts, is_unusual(F.col("t")))] == [False, False, True, True, True, False]
