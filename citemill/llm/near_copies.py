@@ -42,6 +42,8 @@ from citemill.session import discard, store
 SIZE, SIMILARITY, SEED, STARS = 5, Fraction(4, 5), 42, 8
 #: Runs are put last from so many holders on; the most frequent so many of them, which bounds the driver's memory.
 HOT, OFTEN = 16, 400_000
+#: Runs are counted in so many parts (a power of two), and packed when a task holds so many.
+PARTS, PACK = 1 << 12, 1 << 20
 #: Bits of the map that thins the second scan (8 MB), and nodes on a side of what a task verifies at once.
 BITS, TILE = 1 << 26, 256
 _MIX = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) | 1 for i in range(STARS)], np.uint64)
@@ -98,16 +100,55 @@ def stars_of(runs: np.ndarray) -> list[int]:
     return [int(v) for v in ((runs ^ (runs >> np.uint64(29)))[None, :] * _MIX[:, None]).min(axis=1).view(np.int64)]
 
 
-def frequent_runs(texts: DataFrame, size: int, hot: int = HOT, most: int = OFTEN) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ranks) of the runs that ``hot`` or more texts hold, the keys ascending."""
+def packed_runs(texts: DataFrame, size: int = SIZE) -> DataFrame:
+    """(part, keys) of the 32-bit keys of each text's distinct runs: sorted arrays of very many texts, cut by their leading bits.
+
+    A row for each key would meet a hash table of some 60 bytes a key in the executor's heap, where four bytes a key do.
+    """
+    edges = np.arange(PARTS + 1, dtype=np.uint64) << np.uint64(32 - PARTS.bit_length() + 1)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        offsets = np.searchsorted(keys, edges).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), PARTS, [None, pa.py_buffer(offsets * np.int32(4)), pa.py_buffer(keys)])
+        some = np.flatnonzero(np.diff(offsets)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(some), cut.take(pa.array(some))], ["part", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for _, found in binary_rows(batches, "text"):
-            for at in range(0, len(found), 64):
-                keys = np.concatenate([np.unique(count_key(all_runs(t, size))) for t in found[at : at + 64]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int32))], ["run"])
+            for text in found:
+                held.append(np.unique(count_key(all_runs(text, size))))
+                n += len(held[-1])
+                if n >= PACK:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return texts.select("text").mapInArrow(run, "part int, keys binary")
+
 
-    counts = texts.select("text").mapInArrow(run, "run int").groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot)
+def frequent_runs(texts: DataFrame, size: int, hot: int = HOT, most: int = OFTEN) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ranks) of the runs that ``hot`` or more texts hold, the keys ascending. A task holds the keys of one part at a time."""
+
+    def counted(held: list[bytes]) -> pa.RecordBatch:
+        keys, n = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[n >= hot].view(np.int32)), pa.array(n[n >= hot].astype(np.int64))], ["run", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and held:
+                    yield counted(held)
+                    held = []
+                now = part
+                held.append(keys)
+        if held:
+            yield counted(held)
+
+    counts = packed_runs(texts, size).repartition("part").sortWithinPartitions("part").mapInArrow(run, "run int, n bigint")
     rows = counts.orderBy(F.desc("n"), "run").limit(most).toArrow()
     keys, n = rows["run"].to_numpy().view(np.uint32), rows["n"].to_numpy()
     order = np.argsort(keys)

@@ -1,6 +1,7 @@
 """Near copies of the pipeline against brute-force Jaccard."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,19 @@ def test_fingerprints_come_first_and_a_hot_group_makes_few_pairs(spark, monkeypa
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(*x, "en", "s", "x") for x in rows], DOCS), "")
     assert sorted(x["doc_id"] for x in out.collect()) == brute_kept(rows)
     assert linked and linked[0] > 100 and sum(judged) < 10 * len(rows)
+
+
+def test_runs_are_counted_in_packed_parts(spark, monkeypatch):
+    """Counts are those of a plain counter, and what is shuffled for them is a few arrays and not a row for each run."""
+    monkeypatch.setattr(near_copies, "PACK", 4000)
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(4)}" for _ in range(r.choice([3, 40, 400]))) for _ in range(200)] + [None, "", "one"]
+    df = spark.createDataFrame([(None if t is None else t.encode(),) for t in texts], "text binary").repartition(3)
+    want = Counter(k for t in texts for k in set(near_copies.count_key(near_copies.all_runs((t or "").encode())).tolist()))
+    for hot in (1, 30):
+        keys, n = near_copies.frequent_runs(df, 5, hot)
+        assert dict(zip(keys.tolist(), n.tolist())) == {k: c for k, c in want.items() if c >= hot}
+        assert keys.tolist() == sorted(keys.tolist())
+    assert sorted(near_copies.frequent_runs(df, 5, 1, 7)[1].tolist(), reverse=True) == sorted(want.values(), reverse=True)[:7]
+    monkeypatch.setattr(near_copies, "PARTS", 16)
+    assert near_copies.packed_runs(df).count() * 50 < sum(want.values())
