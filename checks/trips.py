@@ -15,6 +15,7 @@ from citemill.plans import jobs
 from citemill.session import checkpoint_dir
 from citemill.sinks.lexicons import write_context_lines, write_entity_lines
 from citemill.sinks.tables import write_tables
+from citemill.sinks.texts import write_texts
 from citemill.sources.corpus import discover, read_texts
 from citemill.sources.lexicons import read_context_lines, read_entity_lines
 from citemill.sources.metadata import read_sources
@@ -50,13 +51,15 @@ def escape_pattern_counts(spark, sf):
 
 @trip
 def text_folder(spark, sf):
-    """Conversations as text files, one each, written by many tasks."""
+    """Conversations as text files, one each, written by many tasks; one without a line has no file and no text."""
     at = folder(spark)
-    rows = I.table(spark, sf, "conversations").select(F.concat(F.lit("N"), "conv_id").alias("name"), "turn", F.concat("role", F.lit("\r\n"), "text").alias("value"))
-    rows.repartition("name").sortWithinPartitions("name", "turn").select("name", "value").write.partitionBy("name").text(at, lineSep="\n")
-    texts = read_texts(spark, f"{at}/*")
+    lines = I.table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit("\r\n"), "text").alias("value"))
+    write_texts(lines.withColumn("name", F.concat(F.lit("N"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")))), at, "turn", "value")
+    texts = read_texts(spark, f"{at}/*").select("source_path", F.md5("text").alias("text_md5"), "pages")  # no text travels to the join
     found = discover(spark, f"{at}/*").select("source_path")
-    return texts.join(found, "source_path").select(F.regexp_extract("source_path", "name=N([0-9]+)/", 1).alias("conv_id"), F.md5("text").alias("text_md5"), "pages")
+    rows = texts.join(found, "source_path").select(F.nullif(F.regexp_extract("source_path", r"[/=]N(-?[0-9]*)(/[^/]*)?\.txt$", 1), F.lit("")).alias("conv_id"), "text_md5", "pages")
+    silent = lines.groupBy("conv_id").agg(F.count("value").alias("n")).where("n = 0")
+    return rows.unionByName(silent.select(F.col("conv_id").cast("string"), F.lit(None).cast("string").alias("text_md5"), F.lit(1).alias("pages")))
 
 
 @trip

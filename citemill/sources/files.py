@@ -25,6 +25,19 @@ def length(spark: SparkSession, path: str) -> int:
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(location).getLen()
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """Where a path lies in the local file system; None in any other store."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(location).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def mark_done(spark: SparkSession, folder: str) -> None:
+    """The empty file that Spark's own sinks leave in a folder that is complete."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(location).close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds; nothing if it is not there."""
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -224,3 +224,55 @@ def test_one_row_group_is_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
         assert session.dealt(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
     finally:
         spark.conf.set("spark.citemill.partitions", named)
+
+
+def test_texts_are_written_one_file_a_name(spark, tmp_path):
+    """A local folder and a store that only Spark reaches give the same texts; the local one has no folder and no checksum file for each text."""
+    from citemill.sinks.texts import write_texts
+
+    rows = [(f"N{i % 400}", None if i % 7 == 3 else i // 400, None if i % 11 == 5 else f"line {i}\r\nñ") for i in range(4000)]
+    df = spark.createDataFrame(rows, "name string, turn int, value string")
+    want = {}
+    for name, _, value in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2] or "")):
+        if value is not None:
+            want[name] = want.get(name, "") + value.replace("\r\n", "\n") + "\n"
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.texts.link./at", f"file://{tmp_path}")
+    for folder, place in ((f"file://{tmp_path}/a", r"/(N\d+)\.txt$"), ("viewfs://texts/at/b", r"name=(N\d+)/")):
+        write_texts(df, folder, "turn", "value")
+        got = read_texts(spark, f"{folder}/*").select(F.regexp_extract("source_path", place, 1).alias("name"), "text").collect()
+        assert len(got) == 400 and {r["name"]: r["text"] for r in got} == want
+    assert len(list((tmp_path / "a").iterdir())) <= 256 + 2 and not list((tmp_path / "a").glob("*/*.crc")) and len(list((tmp_path / "a").glob("*/*"))) == 400
+    with pytest.raises(Exception, match="no name of a file"):
+        write_texts(df.withColumn("name", F.lit("../x")), str(tmp_path / "c"), "turn")
+    assert not list(tmp_path.glob("*.txt"))
+
+
+def conversations(spark, folder, rows):
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+
+
+def test_text_folder_on_odd_rows(spark, tmp_path):
+    """Null ids, turns, roles and texts, a conversation of nulls alone, negative ids: as in SQL. An empty table gives no row."""
+    import duckdb
+
+    from checks.queries import QUERIES
+    from checks.sql import ORACLES
+
+    rows = [(1, 1, "user", "b"), (1, None, "user", "last"), (1, 0, "user", "a\n"), (1, 2, None, "x"), (1, 3, "user", None), (-7, 0, "", ""), (None, 0, "user", "no id"),
+            (None, 1, "user", "still none"), (5, 0, None, None), (5, 1, "user", None), (2**62, 0, "user", "ñ é \U0001F600")]
+    conversations(spark, tmp_path / "odd", rows)
+    conversations(spark, tmp_path / "none", [])
+    want = duckdb.sql(ORACLES["text_folder"].replace("FROM conversations", f"FROM '{tmp_path}/odd/conversations.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in QUERIES["text_folder"](spark, str(tmp_path / "odd")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == 5
+    assert QUERIES["text_folder"](spark, str(tmp_path / "none")).collect() == []
+
+
+def test_text_folder_lists_few_folders(spark, tmp_path, monkeypatch):
+    """The folders that Spark lists do not grow with the files."""
+    from checks import trips
+
+    conversations(spark, tmp_path, [(i, t, "user", f"{i} {t}") for i in range(1500) for t in range(2)])
+    monkeypatch.setattr(trips, "folder", lambda _: str(tmp_path / "texts"))
+    assert trips.text_folder(spark, str(tmp_path)).count() == 1500
+    assert sum(p.is_dir() for p in (tmp_path / "texts").rglob("*")) <= 256
